@@ -1 +1,23 @@
 """folio: catalogue analytics on Spark DataFrames."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+
+def ship(spark) -> None:
+    """Sends this package to the Python workers of the session, once for each context."""
+    sc, name = spark.sparkContext, "folio_package.zip"
+    if name in sc._python_includes:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="folio-"), name)
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(top):
+            for f in files:
+                if f.endswith(".py"):
+                    at = os.path.join(folder, f)
+                    z.write(at, os.path.relpath(at, os.path.dirname(top)))
+    sc.addPyFile(path)

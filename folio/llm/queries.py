@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).selectExpr("doc_id", "keep_id", "group_size", "kept", "digest as text_sha256")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

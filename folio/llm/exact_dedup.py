@@ -33,10 +33,11 @@ def _hex(digest: Column | str, k: int) -> Column:
     return F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("long")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``(_row, doc_id, digest)`` of every row, cut."""
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), F.sha2(text_of(docs, text_col), 256).alias("digest"))
-    return cut(with_row(d))
+    row = [docs[row_col].alias("_row")] if row_col else []
+    d = docs.select(*row, docs[id_col].cast("long").alias("doc_id"), F.sha2(text_of(docs, text_col), 256).alias("digest"))
+    return cut(d if row_col else with_row(d))
 
 
 def winners(d: DataFrame) -> DataFrame:
@@ -101,13 +102,13 @@ def lookup(d: DataFrame, seeds: DataFrame, slots: DataFrame, parts: int) -> Data
     return found.select("_row", "doc_id", "digest", *(F.when(same, F.col(c)).alias(c) for c in ("keep_id", "keep_row", "group_size")))
 
 
-def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row for each document: ``_row, doc_id, digest, keep_id, group_size, kept``.
 
     ``history``: an earlier ``winners`` table; its members stay winners and all their repeats go. Without
     one, the corpus itself is the history. Documents that are no members are grouped among themselves.
     """
-    d = digests(docs, id_col, text_col)
+    d = digests(docs, id_col, text_col, row_col)
     own = history is None
     known = cut(winners(d)) if own else history
     found = lookup(d, *build_index(known))

@@ -112,13 +112,14 @@ def round_cells(cells: DataFrame, solved: DataFrame, cap: float, corrections: in
     return c.drop("target")
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """``(_row, doc_id, size, source_size, target, copies, taken)`` for every row of ``docs``."""
+    row = [docs[row_col].alias("_row")] if row_col else []
     d = docs.select(
-        docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
+        *row, docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
         F.regexp_count(text_of(docs, text_col), F.lit(WORD)).cast("long").alias("size"),
     )
-    d = cut(with_row(d))
+    d = cut(d if row_col else with_row(d))
     cells = d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     totals = cut(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.max("size").alias("largest")))
     goals = cut(targets(totals, share, cap))

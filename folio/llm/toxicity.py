@@ -184,13 +184,17 @@ def _table(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.int32), np.array(at)
 
 
-def fit(texts, target: np.ndarray, passes: int = 12, l1: float = 2e-4) -> np.ndarray:
-    """Weights and, last, the intercept: logistic loss on soft labels by proximal AdaGrad on blocks of rows."""
+def fit(texts, target: np.ndarray, known: list[bytes], passes: int = 12, l1: float = 2e-4, start: float = 3.0) -> np.ndarray:
+    """Weights and, last, the intercept: logistic loss on soft labels by proximal AdaGrad on blocks of rows.
+
+    The lexicons' features start from ``start``, so that rare ones keep a weight unless rows speak against it.
+    """
     slots, at = _table(texts)
     n = len(target)
     w, g2, b, b2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8), 0.0, 1e-8
+    w[[_slot(f) for f in known]] = start
     seen = np.bincount(slots, minlength=1 << BITS)
-    usable = seen >= max(3, n // 5000)
+    usable = (seen >= max(3, n // 5000)) | (w > 0)
     rng = np.random.default_rng(1)
     for _ in range(passes):
         for rows in np.array_split(rng.permutation(n), max(1, n // 64)):
@@ -247,7 +251,8 @@ def toxicity(
         v = voting()
         votes = np.array([v.vote(t) for t in p["text"]], np.int64)
         y = model.posterior(votes, p["label"].to_numpy())
-        return pd.DataFrame({"weights": [fit(p["text"].tolist(), y).tobytes()]})
+        known = [*v.words, *(f.encode() + b"*" for f in v.starts), *v.fixed]
+        return pd.DataFrame({"weights": [fit(p["text"].tolist(), y, known).tobytes()]})
 
     fitted = one.applyInPandas(learn, "weights binary").collect() if model is not None else []
     if fitted:

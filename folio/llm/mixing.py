@@ -8,8 +8,8 @@ the rates nearest to one, in relative entropy, under the source's word constrain
 Documents of equal source and size have equal rates, so the iterations run on the grouped counts of
 (source, size), whose number is bounded by sources times distinct sizes: the first grouping is
 pre-aggregated before its shuffle and a hot source is only a few thousand cells. Rates become whole
-copies by systematic rounding along the sizes, and the cell nearest in size to what is still missing
-moves by one copy for a few rounds. Inside a cell the copies go to documents in the order of a hash,
+copies by systematic rounding along the sizes, and for a few rounds the cell that comes nearest to what
+is still missing moves by as many copies as fit. Inside a cell the copies go to documents in the order of a hash,
 in slices of about ``SLICE`` documents, so no window ever holds a hot cell.
 
 Defined cases: null text has size 0; documents of size 0 are taken 0 times; a null source is a source
@@ -92,7 +92,7 @@ def solve(cells: DataFrame, goals: DataFrame, cap: float) -> DataFrame:
     return state.select("source", "lam", "target")
 
 
-def round_cells(cells: DataFrame, solved: DataFrame, cap: float, corrections: int = 4) -> DataFrame:
+def round_cells(cells: DataFrame, solved: DataFrame, cap: float, corrections: int = 6) -> DataFrame:
     """``(source, size, n, copies)``: whole copies of each cell, between 0 and cap * n."""
     c = cells.alias("c").join(solved.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
     c = c.select("c.source", "size", "n", "target", (F.col("n") * _rate(F.col("lam"), F.col("tilt"), cap)).alias("want"))
@@ -104,11 +104,14 @@ def round_cells(cells: DataFrame, solved: DataFrame, cap: float, corrections: in
     for _ in range(corrections):
         left = c.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
         j = c.alias("c").join(left.alias("l"), F.col("c.source").eqNullSafe(F.col("l.source"))).select("c.*", "left")
-        can = (F.col("size") > 0) & (F.abs(F.abs("left") - F.col("size")) < F.abs("left")) & F.when(F.col("left") > 0, F.col("copies") < limit).otherwise(F.col("copies") > 0)
-        best = j.where(can).groupBy("source").agg(F.min_by(F.struct("size", "left"), F.struct(F.abs(F.abs("left") - F.col("size")), "size")).alias("best"))
-        m = j.drop("left").alias("j").join(best.alias("b"), F.col("j.source").eqNullSafe(F.col("b.source")), "left")
-        move = F.when(F.col("size") == F.col("best.size"), F.signum("best.left").cast("long"))
-        c = cut(m.select("j.source", "size", "n", "target", (F.col("copies") + F.coalesce(move, F.lit(0))).alias("copies")))
+        room = F.when(F.col("left") > 0, limit - F.col("copies")).otherwise(F.col("copies"))
+        gap = F.abs("left")
+        move = F.least(room, F.greatest(F.floor(gap / F.col("size")), F.lit(1)))
+        j = j.where("size > 0").withColumns({"move": move, "after": F.abs(gap - move * F.col("size"))}).where((F.col("move") > 0) & (F.col("after") < gap))
+        best = j.groupBy("source").agg(F.min_by(F.struct("size", (F.col("move") * F.signum("left")).cast("long").alias("move")), F.struct("after", "size")).alias("best"))
+        m = c.alias("j").join(best.alias("b"), F.col("j.source").eqNullSafe(F.col("b.source")), "left")
+        step = F.when(F.col("size") == F.col("best.size"), F.col("best.move"))
+        c = cut(m.select("j.source", "size", "n", "target", (F.col("copies") + F.coalesce(step, F.lit(0))).alias("copies")))
     return c.drop("target")
 
 

@@ -275,7 +275,7 @@ def extent() -> Column:
     """The physical description, its parts joined by their punctuation."""
     f = C.first(M.fields("300??"))
     part = lambda code: C.present(F.regexp_replace(M.sub1(f, code), r"\s?[:;+]\s?$", ""))
-    return C.paste(C.paste(C.paste(C.joined(M.sub(f, "a"), ", "), part("b"), sep=" : "), part("c"), sep=" ; "), part("e"), sep=" + ")
+    return C.paste(C.paste(C.paste(C.joined(C.replace_each(M.sub(f, "a"), (r"\s?[:;+]\s?$", "")), ", "), part("b"), sep=" : "), part("c"), sep=" ; "), part("e"), sep=" + ")
 
 
 def notes() -> dict[str, Column]:

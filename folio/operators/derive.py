@@ -14,7 +14,8 @@ from folio.functions import columns as C
 from folio.functions import marc as M
 
 BASE = "https://example.org/"
-NETWORK = "49HBZ_NETWORK"
+#: The code of the network as a member of its own.
+NETWORK = "NETWORK"
 
 
 def rejected() -> Column:

@@ -33,7 +33,7 @@ BOOK = '<record><leader>01234nam a2200289 c 4500</leader><controlfield tag="001"
     field("773", "08", ("a", "Whole"), ("w", "(DE-605)HT9"), ("i", "In")),
     field("880", "10", ("6", "245-01/Cyrl"), ("a", "Числа /")),
     field("GPN", "  ", ("a", "Roh, Yo"), ("B", "GND-1")),
-    field("MBD", "  ", ("M", "49HBZ_NETWORK")), field("MBD", "  ", ("M", "LIB_A")), field("MBD", "  ", ("M", "LIB_B")),
+    field("MBD", "  ", ("M", "NETWORK")), field("MBD", "  ", ("M", "LIB_A")), field("MBD", "  ", ("M", "LIB_B")),
     field("HOL", "  ", ("8", "h1"), ("M", "LIB_A")), field("HOL", "  ", ("8", "h2"), ("M", "LIB_A")),
     field("H52", "  ", ("8", "h2"), ("b", "L2"), ("c", "stack"), ("h", "C 2")),
     field("ITM", "  ", ("a", "i1"), ("H", "h1"), ("w", "L1"), ("x", "x"), ("v", "x"), ("z", "Z"), ("n", "N 1"), ("c", "C 1")),
@@ -157,3 +157,37 @@ def test_geohash(spark):
     lat, lon = search.point("u4pruydqq")
     assert abs(lat - 57.64911) < 1e-4 and abs(lon - 10.40744) < 1e-4
     assert one(spark, search.location(F.lit(57.6491), F.lit(10.4074), "u4pruydqq"))
+
+
+def test_links_forms_and_tables(spark, tmp_path):
+    from folio.functions import marc as M
+    from folio.operators import links
+
+    rec = '<record><leader>00000nam a2200000 c 4500</leader><controlfield tag="001">1</controlfield>' + "".join([
+        field("856", "42", ("3", "Inhaltsverzeichnis"), ("u", "http://a")), field("856", "40", ("u", "http://b"), ("z", "kostenfrei"), ("x", "Verlag"), ("x", "Volltext")),
+        field("856", "40", ("u", "http://c"), ("x", "Rezension")), field("856", "40", ("u", "https://doi.org/10.1/x"), ("7", "0")),
+        field("655", " 7", ("a", "Biografie"), ("0", "(DE-588)4006804-3")), field("655", " 7", ("a", "DVD-Video")), field("689", "00", ("A", "f"), ("a", "Roman")), field("689", "01", ("A", "f"), ("a", "Nichts")),
+        field("084", "  ", ("a", "x1"), ("2", "reg")), field("130", "0 ", ("a", "Work"), ("p", "Part")), field("700", "12", ("a", "Roe"), ("t", "Song")),
+        field("776", "08", ("t", "Other"), ("z", "3161484100")), field("776", "08", ("t", "Own"), ("z", "0-8044-2957-X")),
+    ]) + "</record>"
+    (tmp_path / "r.xml").write_text(rec, encoding="utf-8")
+    r = readers.read_marcxml(spark, str(tmp_path / "r.xml"))
+    rules = [links.Collection("c:r", "Regional", links.source_code("reg", start="x")), links.Collection("c:n", "None", links.link_contains("nowhere")), links.Collection("c:r", "Regional", links.local_mark("n", "q") | F.lit(True))]
+    d = r.withColumns({**links.described_links(), "full": links.fulltext(), "forms": links.forms(), "in": links.collections(rules), **links.works(), "rel": links.related_by_isbn(F.array(F.lit("080442957X")))})
+    d = links.with_form_ids(d, "record_id", "forms", readers.inline_map(spark, {"Roman": "99"}), "forms")
+    d = links.with_notations(d, "record_id", readers.inline_map(spark, {"1": "SK 1, bad,QA 2"}), r"[A-Z]{2} \d", "rvk")
+    places = spark.createDataFrame([("P1", "Bonn", "city", "Point(7.1 50.7)")], "key string, label string, kind string, point string")
+    d = links.with_places(d.withColumn("p", F.array(F.lit("P1"), F.lit("P2"))), "record_id", "p", places, "spatial")
+    d = d.withColumn("code", F.lit("38-7"))
+    d = links.with_provenance(d, "code", readers.inline_map(spark, {"x": "y"}), readers.inline_map(spark, {"x": "y"}), readers.inline_map(spark, {"DE-38": "Library"}), [("ZZ.*", "XX-0")], "by")
+    x = d.first()
+    assert [tuple(t) for t in x.tableOfContents] == [("http://a", "Inhaltsverzeichnis")] and x.seeAlso == []
+    assert [tuple(t) for t in x.full] == [("http://b", "Volltext")]
+    assert [tuple(t) for t in x.forms] == [("https://d-nb.info/gnd/4006804-3", "Biografie"), ("https://d-nb.info/gnd/99", "Roman")]
+    assert [t.label for t in x["in"]] == ["Regional"] and x.exampleOfWork.label == "Work. Part" and x.containsExampleOfWork[0].label == "Roe. Song"
+    assert [t.label for t in x.rel] == ["Other"] and x.rvk == ["SK 1", "QA 2"]
+    assert [(t.label, t.geo.lat, t.geo.lon) for t in x.spatial] == [("Bonn", 50.7, 7.1)]
+    assert tuple(x.by) == ("DE-38-7", "Library: DE-38-7")
+    same = r.select(links.same_as({"http://o/": (F.array(F.lit("1"), F.lit(None)), "O")}).alias("s")).first().s
+    assert [tuple(t) for t in same] == [("http://o/1", "O")]
+    assert M.value("130??", "a") is not None

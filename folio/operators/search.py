@@ -178,3 +178,19 @@ def sorted_hits(hits: DataFrame, order: str, date: str, key: str, score: str | N
     """``newest``, ``oldest``, or relevance; missing dates last, ties by key."""
     by = F.desc_nulls_last(date) if order == "newest" else F.asc_nulls_last(date) if order == "oldest" else F.desc_nulls_last(score or key)
     return hits.orderBy(by, F.asc(key))
+
+
+def record_of(item_id: Column) -> Column:
+    """The record of an item id: what stands before the first colon."""
+    return F.substring_index(item_id, ":", 1)
+
+
+def deletions(table: DataFrame, tokens: Column, query: str, date: str, size: int) -> DataFrame:
+    """The newest announced deletions whose text has all words of the query; all of them for ``*``."""
+    hits = table if query == "*" else table.where(all_terms(tokens, query))
+    return hits.orderBy(F.desc_nulls_last(date)).limit(size)
+
+
+def visible(hits: DataFrame, *internal: str) -> DataFrame:
+    """Hits without fields that are for the search alone."""
+    return hits.drop(*internal)

@@ -1,15 +1,16 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of every whole text that holds an anchor word, and the paragraph around it, is compared with the notices and openings of well-known licences by the cosine of sparse TF-IDF vectors over the
-templates' terms. Document frequencies of these terms are counted over all texts of the corpus. A text that is mostly
-licence words is a licence file and speaks for its directory; a document without a header of its own
-inherits from the nearest ancestor directory that has one, found by joins on paths: every directory is
-exploded into its ancestors, whose number is the depth of the path, and the deepest match is kept.
+Every line of every whole text that holds an anchor word, and the paragraph around it, is compared with
+the notices and openings of well-known licences by the cosine of sparse TF-IDF vectors over the
+templates' terms. Document frequencies of these terms are counted over all texts of the corpus. A text
+that is mostly licence words is a licence file and speaks for its directory; a document without a
+header of its own inherits from the nearest ancestor directory that has one, found by joins on paths:
+every directory is exploded into its ancestors, as many as the path is deep, and the deepest match is kept.
 
 Defined cases: null and empty texts have no header and inherit; paths without a directory belong to the
-root; a null path inherits nothing; of several matches in a document the highest cosine is reported
-first and all distinct licences are listed; ties go to the smaller name; repeated rows are scanned row by row; an empty
-table gives an empty result; extra columns are ignored.
+root; a null path inherits nothing; of several matches in a document the highest cosine is reported and
+all distinct licences are listed; ties go to the smaller name; repeated rows are scanned row by row; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -24,6 +24,7 @@ nothing; with no labelled rows the fixed lexicon decides; an empty table gives a
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -54,10 +55,7 @@ def _features(word: bytes) -> list[bytes]:
 
 
 def _slot(feature: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for c in feature:
-        h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return (h ^ h >> 29) % (1 << BITS)
+    return zlib.crc32(feature) >> (32 - BITS)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -65,12 +63,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE) -> DataFrame:
-    """``(text, label)``: at most so many labelled rows, of the smallest hashes, held-out ones never."""
+    """``(_id, text, label)``: at most so many labelled rows, of the smallest hashes, held-out ones never.
+
+    The chosen ids are at most ``rows``, so they are broadcast.
+    """
     y = labels.select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("label")).where("label in (0, 1)")
     y = y.where(~F.coalesce(held_out(F.col("_id")), F.lit(True)))
     y = y.groupBy("_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     few = y.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    return docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text")).join(few, "_id").orderBy(F.xxhash64("_id"), "_id").limit(rows).select("_id", "text", "label")
+    return docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text")).join(F.broadcast(few), "_id").orderBy(F.xxhash64("_id"), "_id").limit(rows).select("_id", "text", "label")
 
 
 def mine(p: pd.DataFrame, least: int = 4, odds: float = 12.0) -> pd.DataFrame:
@@ -138,7 +139,7 @@ class LabelModel:
             on1, on0 = (w * q) @ x, (w * (1 - q)) @ x
             self.hit = np.clip(on1 / max((w * q).sum(), 1e-9), 1e-3, 1 - 1e-3)
             self.false = np.clip(on0 / max((w * (1 - q)).sum(), 1e-9), 1e-4, 0.5)
-            if turn in (10, 30):
+            if turn in (0, 3, 10, 30):
                 self.weight = self._weights(x, w, q)
             q = self.posterior(votes)
 

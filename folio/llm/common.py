@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -19,12 +21,42 @@ def shared_dir(spark: SparkSession) -> str:
     return named or "file://" + os.path.join(tempfile.gettempdir(), "folio-checkpoint")
 
 
+_open: list[list[str]] = []
+_left: dict[str, list[str]] = {}
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str, done: str | None = None):
+    """Keeps account of the tables that are cut inside, under ``name``, and drops those of ``done``.
+
+    For chains of steps whose results are written before the next step starts: the next one drops what
+    the one before it left.
+    """
+    for path in _left.pop(done, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    _left[name] = []
+    _open.append(_left[name])
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here, and lost executors
     cost a re-read, not a re-run."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/folio/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,28 +77,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     minima over the edges, every round is cut, and only a count comes back to the driver. Nodes
     without edges are not returned. An empty edge table gives an empty result.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    e = cut(e)
-    for _ in range(max_rounds):
+    def mark(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    seen = mark(e)
+    for _ in range(max_rounds if seen[0] else 0):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        nxt = (
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v")))
-            .where("u > v")
-            .distinct()
-        )
-        nxt = cut(nxt)
-        new = nxt.join(e, ["u", "v"], "left_anti").limit(1).count() + e.join(nxt, ["u", "v"], "left_anti").limit(1).count()
-        e = nxt
-        if new == 0:
+        large = cut(large.where("u > v").distinct())
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        e = cut(nxt.where("u > v").distinct())
+        now = mark(e)
+        if now == seen:
             break
+        seen = now
     else:
-        raise RuntimeError("components did not settle")
+        if seen[0]:
+            raise RuntimeError("components did not settle")
     return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

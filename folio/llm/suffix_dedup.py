@@ -24,21 +24,20 @@ ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import Windows
-from .common import cut
+from .common import cut, release
 
 CHUNK = 2 << 20
 #: Bytes of text whose names one bucket holds.
-BUCKET_TEXT = 32 << 20
+BUCKET_TEXT = 16 << 20
 
 
 def difference_cover(r: int) -> tuple[np.ndarray, int]:
@@ -127,6 +126,16 @@ class _Chunk:
         return self.windows.of(at, at + self.length)
 
 
+def _squeezed(sorted_names: np.ndarray) -> bytes:
+    """Differences by byte planes: the upper planes are zeros, which the shuffle's compression takes away."""
+    return np.diff(sorted_names, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _ask(chunk: int, names: np.ndarray, bits: int) -> pa.RecordBatch | None:
     """The distinct names of a chunk, by bucket."""
     if not len(names):
@@ -139,7 +148,7 @@ def _ask(chunk: int, names: np.ndarray, bits: int) -> pa.RecordBatch | None:
         [
             pa.array(of[at[:-1]]),
             pa.array(np.full(len(spans), chunk, np.int64)),
-            pa.array([u[a:b].astype("<u8").tobytes() for a, b in spans], pa.binary()),
+            pa.array([_squeezed(u[a:b]) for a, b in spans], pa.binary()),
             pa.array([np.packbits(counts[a:b] > 1).tobytes() for a, b in spans], pa.binary()),
         ],
         ["bucket", "chunk", "names", "twice"],
@@ -148,7 +157,7 @@ def _ask(chunk: int, names: np.ndarray, bits: int) -> pa.RecordBatch | None:
 
 def _sort_bucket(table: pa.Table) -> pa.Table:
     """Sorts one bucket, and answers each chunk which of its names are in two places."""
-    parts = [np.frombuffer(x, "<u8") for x in table.column("names").to_pylist()]
+    parts = [_unsqueezed(x) for x in table.column("names").to_pylist()]
     size = [len(p) for p in parts]
     names = np.concatenate(parts)
     twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(table.column("twice").to_pylist(), size, strict=True)]).astype(bool)
@@ -179,12 +188,6 @@ def _told(names: np.ndarray, answers: list[dict] | None) -> np.ndarray:
     return bits[np.unique(names, return_inverse=True)[1]]
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row for each document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
@@ -212,10 +215,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     columns = ["chunk", "lens", "blob"]
     cover = _answers(chunks.select(*columns).mapInArrow(ask_cover, ask), "cover")
-    _release(spark)
+    release(spark)
     known = chunks.join(cover, "chunk", "left")
     suffix = _answers(known.select(*columns, "cover").mapInArrow(ask_suffixes, ask), "suffix")
-    _release(spark)
+    release(spark)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * with_text
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary(), pa.list_(pa.list_(pa.int64()))] * with_text

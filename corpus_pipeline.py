@@ -7,12 +7,14 @@ may repeat or be null.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from folio import ship
-from folio.llm.common import cut, with_row
+from folio.llm.common import cut, release, scratch, with_row
 from folio.llm.exact_dedup import exact_dedup
 from folio.llm.mixing import mix
 from folio.llm.near_dedup import near_dedup
@@ -35,24 +37,44 @@ def _only(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     return keyed.join(rows.select(KEY), KEY, "left_semi").select(*COLUMNS)
 
 
+def _after(previous: str | None):
+    """A stage starts once the one before it is written, so that one's intermediate tables go."""
+
+    def wrap(stage):
+        @functools.wraps(stage)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            with scratch(spark, stage.__name__, previous):
+                out = stage(spark, docs, sf_dir)
+            release(spark)
+            return out
+
+        return run_stage
+
+    return wrap
+
+
+@_after(None)
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     keyed = _keyed(docs)
     return _only(keyed, scored(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=KEY).where("predicted = 0"))
 
 
+@_after("toxicity")
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     keyed = _keyed(docs)
     return _only(keyed, exact_dedup(keyed, row_col=KEY).where("kept"))
 
 
+@_after("exact")
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five words, similarity 0.8) the smallest id stays."""
     keyed = _keyed(docs)
     return _only(keyed, near_dedup(keyed, row_col=KEY).where("kept"))
 
 
+@_after("near")
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
     keyed = _keyed(docs)
@@ -60,6 +82,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(copies, KEY).select(*COLUMNS, F.explode(F.expr("array_repeat(0, int(copies))")).alias("copy")).drop("copy")
 
 
+@_after("mixing")
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences of what is left."""
     ship(spark)

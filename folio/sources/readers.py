@@ -52,9 +52,8 @@ def read_aggregate(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return read_marcxml(spark, paths, prefix="marc:")
 
 
-def read_marcxml_archive(spark: SparkSession, path: str, work: str) -> DataFrame:
-    """Records of XML files in tar archives, one task an archive. The members' records are written to
-    ``work``, a folder that all executors share, as one record a line, and read from there."""
+def read_marcxml_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Records of XML files in tar archives, one task an archive."""
 
     def members(batches):
         for b in batches:
@@ -68,8 +67,8 @@ def read_marcxml_archive(spark: SparkSession, path: str, work: str) -> DataFrame
     files = spark.read.format("binaryFile").load(path).select("content")
     text = files.mapInArrow(members, "value string")
     records = F.regexp_extract_all(F.regexp_replace("value", r"\s*\n\s*", " "), F.lit(r"(?s)(<record[ >].*?</record>)"), 1)
-    text.select(F.explode(records).alias("value")).write.mode("overwrite").text(work)
-    return read_marcxml(spark, work)
+    parsed = F.from_xml("value", _RECORD, {"ignoreSurroundingSpaces": "false"})
+    return _reshaped(text.select(F.explode(records).alias("value")).select(parsed.alias("r")).select("r.*"))
 
 
 def read_lookup_tsv(spark: SparkSession, path: str, key: int, value: int, header: bool = False) -> DataFrame:

@@ -107,7 +107,7 @@ def test_concordance_and_archive(spark, tmp_path):
         info = tarfile.TarInfo("x.xml")
         info.size = len(data)
         tar.addfile(info, io.BytesIO(data))
-    got = readers.read_marcxml_archive(spark, str(path), str(tmp_path / "work"))
+    got = readers.read_marcxml_archive(spark, str(path))
     assert {r.record_id for r in got.collect()} == {"99001", "99003"}
 
     agg = tmp_path / "agg.xml"
@@ -134,7 +134,7 @@ def one(spark, expr):
     return spark.range(1).select(expr.alias("x")).first().x
 
 
-@pytest.mark.parametrize("text,ten,thirteen", [("ISBN 978-3-16-148410-0", "3161484100", "9783161484100"), ("080442957X", "080442957X", "9780804429573"), ("979-10-90636-07-1", None, "9791090636071"), ("no number", None, None)])
+@pytest.mark.parametrize("text,ten,thirteen", [("ISBN 978-3-16-148410-0", "316148410X", "9783161484100"), ("080442957X", "080442957X", "9780804429573"), ("979-10-90636-07-1", None, "9791090636071"), ("no number", None, None)])
 def test_isbn(spark, text, ten, thirteen):
     clean = C.isbn_clean(F.lit(text))
     assert one(spark, C.isbn10(clean)) == ten and one(spark, C.isbn13(clean)) == thirteen

@@ -2,8 +2,10 @@
 
 Every line of every whole text that holds an anchor word, and the paragraph around it, is compared with
 the notices and openings of well-known licences by the cosine of sparse TF-IDF vectors over the
-templates' terms. Document frequencies of these terms are counted over all texts of the corpus. A text
-that is mostly licence words is a licence file and speaks for its directory; a document without a
+templates' terms. Every whole text is compared in the same way with the whole licence texts of the folder
+``licence_texts``. Document frequencies of these terms are counted over all texts of the corpus. A text
+that is mostly licence words, or a whole licence text, is a licence file and speaks for its directory; lines of
+the licence text it is aren't headers of other licences; a document without a
 header of its own inherits from the nearest ancestor directory that has one, found by joins on paths:
 every directory is exploded into its ancestors, as many as the path is deep, and the deepest match is kept.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 import re
 from collections import Counter
 
@@ -53,15 +56,26 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-VOCABULARY = frozenset(t for texts in TEMPLATES.values() for x in texts for t in terms(x))
+def bodies() -> dict[str, tuple[str, ...]]:
+    """The whole licence texts; they are read on the driver only."""
+    top = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licence_texts")
+    out = {}
+    for f in sorted(os.listdir(top)):
+        with open(os.path.join(top, f), encoding="utf-8") as x:
+            out[f.removesuffix(".txt")] = (x.read(),)
+    return out
+
+
+def vocabulary(templates: dict[str, tuple[str, ...]]) -> frozenset[str]:
+    return frozenset(t for texts in templates.values() for x in texts for t in terms(x))
 
 
 class Matcher:
-    def __init__(self, df: dict[str, int], n: int):
-        self.idf = {t: 1 + math.log((n + 1) / (df.get(t, 0) + 1)) for t in VOCABULARY}
+    def __init__(self, df: dict[str, int], n: int, templates: dict[str, tuple[str, ...]] = TEMPLATES):
+        self.idf = {t: 1 + math.log((n + 1) / (df.get(t, 0) + 1)) for t in vocabulary(templates)}
         # a term that no template has tells a line from a template as a rare one would
         self.other = 1 + math.log(n + 1)
-        self.templates = [(name, self._vector(Counter(terms(x)))) for name, texts in sorted(TEMPLATES.items()) for x in texts]
+        self.templates = [(name, self._vector(Counter(terms(x)))) for name, texts in sorted(templates.items()) for x in texts]
         self.by_term: dict[str, list[tuple[int, float]]] = {}
         for i, (_, v) in enumerate(self.templates):
             for t, w in v.items():
@@ -87,14 +101,19 @@ class Matcher:
         return self.templates[i][0], score[i]
 
 
-def headers(text: str, matcher: Matcher, least: float) -> tuple[list[tuple[str, float, int]], int]:
-    """``(licence, cosine, line)`` of the matching lines, best first, and the words in them."""
+def headers(text: str, matcher: Matcher, least: float, body: str = "") -> tuple[list[tuple[str, float, int]], int]:
+    """``(licence, cosine, line)`` of the matching lines, best first, and the words in them.
+
+    ``body``: terms of the licence text that the whole text is; what stands in it is no header of its own.
+    """
     if not any(a in text.lower() for a in ANCHORS):
         return [], 0
     found, words, k = [], 0, 0
     for blank, group in itertools.groupby(text.split("\n"), key=lambda x: not x.strip()):
         lines = list(group)
         held = [] if blank else [(k + j, x) for j, x in enumerate(lines) if any(a in x.lower() for a in ANCHORS)]
+        if body:
+            held = [(j, x) for j, x in held if f" {' '.join(terms(x))} " not in body]
         k += len(lines)
         if not held:
             continue
@@ -113,9 +132,25 @@ def ancestors(directory: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
+def scanned_text(text: str, matcher: Matcher, whole: Matcher, joined: dict[str, str], least: float, file_share: float) -> tuple:
+    """``own, cosine, licenses, is_file`` of one text.
+
+    Of a text at this cosine to a licence text, ``file_share`` of the squared norm lies along it.
+    """
+    body = whole.best(text)
+    if body and body[1] < max(least, math.sqrt(file_share)):
+        body = None
+    found, words = headers(text, matcher, least, joined[body[0]] if body else "")
+    is_file = body is not None or bool(found) and words >= file_share * len(text.split())
+    lead = body or (found[0][:2] if found else (None, None))
+    return *lead, sorted({x[0] for x in found} | ({body[0]} if body else set())), is_file
+
+
 def license_scan(docs: DataFrame, path: Column, least: float = 0.6, file_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: ``doc_id, path, own, cosine, licenses, is_file, license, inherited_from``."""
     spark = docs.sparkSession
+    texts = bodies()
+    counted = vocabulary(TEMPLATES) | vocabulary(texts)
     d = docs.select(docs[id_col].alias("doc_id"), path.cast("string").alias("path"), docs[text_col].alias("text"))
 
     def frequencies(batches):
@@ -123,26 +158,24 @@ def license_scan(docs: DataFrame, path: Column, least: float = 0.6, file_share:
             df: Counter = Counter()
             n = 0
             for t in b.column("text").to_pylist():
-                df.update(VOCABULARY.intersection(_TERM.findall((t or "").lower())))
+                df.update(counted.intersection(_TERM.findall((t or "").lower())))
                 n += 1
             df["\0"] = n
             yield pa.RecordBatch.from_arrays([pa.array(list(df)), pa.array(list(df.values()), pa.int64())], ["term", "n"])
 
-    # as many rows as the templates have terms
+    # as many rows as the templates and licence texts have terms
     df = {r.term: r.n for r in d.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    sent = spark.sparkContext.broadcast(df)
+    sent = spark.sparkContext.broadcast((df, texts))
     keyed = with_row(d)
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        matcher = Matcher(sent.value, sent.value.get("\0", 0))
+        df, texts = sent.value
+        n = df.get("\0", 0)
+        matcher, whole = Matcher(df, n), Matcher(df, n, texts)
+        joined = {name: f" {' '.join(terms(x))} " for name, (x,) in texts.items()}
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                t = t or ""
-                found, words = headers(t, matcher, least)
-                n = len(t.split())
-                out.append((found[0][0] if found else None, found[0][1] if found else None, sorted({x[0] for x in found}), bool(found) and words >= file_share * n))
+            out = [scanned_text(t or "", matcher, whole, joined, least, file_share) for t in b.column("text").to_pylist()]
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("doc_id"), b.column("path"), *(pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.list_(pa.string()), pa.bool_()), strict=True))], ["_row", "doc_id", "path", "own", "cosine", "licenses", "is_file"])
 

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm.license_scan import license_scan
+from folio.llm.license_scan import TEMPLATES, bodies, license_scan
 from folio.llm.mixing import mix
 from folio.llm.packing import pack
 from folio.llm.quality_rules import quality, repeated_words
@@ -167,6 +167,23 @@ def test_licenses(spark):
     assert license_scan(d.limit(0), F.col("path")).count() == 0
 
 
+def test_whole_license_texts(spark):
+    whole = {name: x for name, (x,) in bodies().items()}
+    assert set(whole) == set(TEMPLATES)
+    rows = [(f"{name}/LICENSE", "Copyright (c) 2020 Jane Roe and others\n\n" + x) for name, x in whole.items()]
+    rows += [(f"{name}/src/x.py", "import os\nnothing here") for name in whole] + [(f"other/{k}.txt", "calm words about the weather " * 9) for k in range(40)]
+    # a source file with the whole MIT text above much more code speaks for itself only
+    rows += [("code/x.py", whole["MIT"] + "\n" + " ".join(f"name{k} = call{k}" for k in range(400))), ("code/y.py", "import re")]
+    d = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id int, path string, text string")
+    got = {r.path: r for r in license_scan(d, F.col("path")).collect()}
+    for name in whole:
+        r = got[f"{name}/LICENSE"]
+        assert (r.own, r.is_file, r.licenses) == (name, True, [name])
+        assert (got[f"{name}/src/x.py"].license, got[f"{name}/src/x.py"].inherited_from) == (name, name)
+    assert got["code/x.py"].own == "MIT" and not got["code/x.py"].is_file and got["code/y.py"].license is None
+    assert all(got[f"other/{k}.txt"].license is None for k in range(40))
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(2)
     y = rng.random(40_000) < 0.15

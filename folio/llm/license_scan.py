@@ -5,7 +5,8 @@ the notices and openings of well-known licences by the cosine of sparse TF-IDF v
 templates' terms. Every whole text is compared in the same way with the whole licence texts of the folder
 ``licence_texts``. Document frequencies of these terms are counted over all texts of the corpus. A text
 that is mostly licence words, or a whole licence text, is a licence file and speaks for its directory; lines of
-the licence text it is aren't headers of other licences; a document without a
+the licence text it is aren't headers of other licences. An SPDX line is a header of each licence that its
+expression names, at cosine 1, of those without a template under the name as written. A document without a
 header of its own inherits from the nearest ancestor directory that has one, found by joins on paths:
 every directory is exploded into its ancestors, as many as the path is deep, and the deepest match is kept.
 
@@ -52,6 +53,25 @@ ANCHORS = ("licen", "permission", "redistribution", "public domain", "creative c
 _TERM = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]")
 
 
+#: An SPDX expression: identifiers joined by operators, in any brackets.
+_SPDX = re.compile(r"spdx-license-identifier[ \t]*:[ \t(]*([a-z0-9][a-z0-9.+-]*(?:[ \t()]*(?:[ \t()](?:and|or|with)[ \t(]|/)[ \t(]*[a-z0-9][a-z0-9.+-]*)*)", re.IGNORECASE)
+_OPERATOR = re.compile(r"[ \t()]*(?:[ \t()](and|or|with)[ \t(]|/)[ \t(]*", re.IGNORECASE)
+_NAMES = {name.lower(): name for name in TEMPLATES}
+
+
+def spdx(line: str) -> list[str]:
+    """The licences that the SPDX headers of a line name; exceptions are no licences."""
+    out = []
+    for m in _SPDX.finditer(line):
+        first, *rest = _OPERATOR.split(m[1])
+        ids = [first, *(x for how, x in zip(rest[::2], rest[1::2], strict=True) if (how or "").lower() != "with")]
+        for x in (x.rstrip(".-") for x in ids):
+            plain = re.sub(r"(-only|-or-later|\+)$", "", x.lower())
+            if plain not in ("none", "noassertion"):
+                out.append(_NAMES.get(plain, x))
+    return out
+
+
 def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
@@ -117,12 +137,18 @@ def headers(text: str, matcher: Matcher, least: float, body: str = "") -> tuple[
         k += len(lines)
         if not held:
             continue
-        hits = [(*m, j, len(x.split())) for j, x in held if (m := matcher.best(x)) and m[1] >= least]
-        whole = matcher.best(" ".join(lines))
+        named = {j: spdx(x) for j, x in held if "spdx" in x.lower()}
+        hits = [(*m, j) for j, x in held if not named.get(j) and (m := matcher.best(x)) and m[1] >= least]
+        matched = {h[2] for h in hits} | {j for j, x in named.items() if x}
+        size = sum(len(x.split()) for j, x in held if j in matched)
+        rest = [x for j, x in enumerate(lines, k - len(lines)) if not named.get(j)]
+        whole = matcher.best(" ".join(rest))
         if whole and whole[1] >= least and whole[1] > max((h[1] for h in hits), default=0.0):
-            hits = [(*whole, held[0][0], sum(len(x.split()) for x in lines))]
-        found += [h[:3] for h in hits]
-        words += sum(h[3] for h in hits)
+            # lines that match another licence stay
+            hits = [(*whole, held[0][0]), *(h for h in hits if h[0] != whole[0])]
+            size = sum(len(x.split()) for x in lines)
+        found += hits + [(name, 1.0, j) for j, x in named.items() for name in x]
+        words += size
     return sorted(found, key=lambda x: (-x[1], x[0], x[2])), words
 
 

@@ -31,7 +31,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     # the table has no paths: a document lies in the folder of its language within that of its source
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    return license_scan(docs, path).drop("licenses", "cosine")
+    return license_scan(docs, path)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

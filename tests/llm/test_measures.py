@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm.license_scan import TEMPLATES, bodies, license_scan
+from folio.llm.license_scan import TEMPLATES, bodies, license_scan, spdx
 from folio.llm.mixing import mix
 from folio.llm.packing import pack
 from folio.llm.quality_rules import quality, repeated_words
@@ -184,6 +184,33 @@ def test_whole_license_texts(spark):
     assert all(got[f"other/{k}.txt"].license is None for k in range(40))
 
 
+def test_spdx_lines_and_double_licenses(spark):
+    assert spdx("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause") == ["MIT", "Apache-2.0", "BSD-3-Clause"]
+    assert spdx("/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */") == ["GPL-2.0"]
+    assert spdx("SPDX-License-Identifier: MIT/Apache-2.0") == ["MIT", "Apache-2.0"] and spdx("# SPDX-License-Identifier: NONE") == []
+    code = "\n" + "code " * 60
+    rows = [
+        ("r/LICENSE", "Released under the MIT License", "MIT", ["MIT"]),
+        ("r/a.py", "# SPDX-License-Identifier: Apache-2.0" + code, "Apache-2.0", ["Apache-2.0"]), ("r/b.c", "/* SPDX-License-Identifier: GPL-3.0-or-later */" + code, "GPL-3.0", ["GPL-3.0"]),
+        ("r/c.rs", "// SPDX-License-Identifier: MIT OR Apache-2.0" + code, "Apache-2.0", ["Apache-2.0", "MIT"]), ("r/d.py", "# SPDX-License-Identifier: EPL-2.0" + code, "EPL-2.0", ["EPL-2.0"]),
+        ("r/e.txt", "Licensed under the Apache License, Version 2.0\nReleased under the MIT license" + code, None, ["Apache-2.0", "MIT"]),
+        ("r/f.py", code, None, []),
+    ]
+    # MIT in many texts, so that its name alone weighs little
+    rows += [(f"m/{k}.txt", f"mit story {k}", None, []) for k in range(200)]
+    d = spark.createDataFrame([(i, p, t) for i, (p, t, *_) in enumerate(rows)], "doc_id int, path string, text string")
+    got = {r.path: r for r in license_scan(d, F.col("path")).collect()}
+    for p, _, own, names in rows:
+        assert got[p].licenses == names and (own is None or (got[p].own, got[p].license) == (own, own)), p
+    assert got["r/a.py"].cosine == 1.0 and got["r/f.py"].license == "MIT" and got["m/1.txt"].license is None
+
+
+def test_op1_keeps_all_licenses(spark):
+    from folio.llm.queries import op1_license_scan
+
+    assert {"licenses", "cosine"} <= set(op1_license_scan(spark, "/root/testdata/sf0.001").columns)
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(2)
     y = rng.random(40_000) < 0.15

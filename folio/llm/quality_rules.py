@@ -15,6 +15,8 @@ judged row by row; an empty table gives an empty result; extra columns are ignor
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,7 @@ from .common import cut
 
 WIDTH, FEW, CACHE = 3.0, 20, 800_000
 SYMBOLS = "#*$%&|<>"
+SCRIPTS = ("arabic", "cyrillic", "greek", "han", "hebrew", "latin", "other")
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 _kept: dict[str, tuple] = {}
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
@@ -74,15 +77,23 @@ def repeated_words(words: list[bytes], k: int = 3) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _script(text: str) -> str:
-    """The script of most letters, by blocks."""
-    count: dict[str, int] = {}
-    for c in text[:: max(1, len(text) // 4000)]:
-        if c.isalpha():
-            o = ord(c)
+@functools.cache
+def _scripts() -> np.ndarray:
+    """Of every code point the place of its script in ``SCRIPTS``; of those that aren't letters, one beyond."""
+    out = np.full(0x110000, len(SCRIPTS), np.uint8)
+    for o in range(0x110000):
+        if chr(o).isalpha():
             s = "latin" if o < 0x250 else "greek" if o < 0x400 else "cyrillic" if o < 0x530 else "hebrew" if 0x590 <= o < 0x600 else "arabic" if 0x600 <= o < 0x780 else "han" if 0x3040 <= o < 0xA000 else "other"
-            count[s] = count.get(s, 0) + 1
-    return max(sorted(count), key=count.get) if count else "none"
+            out[o] = SCRIPTS.index(s)
+    return out
+
+
+def _script(text: str) -> str:
+    """The script of most letters of the whole text, by blocks; ties go to the smaller name."""
+    count = np.zeros(len(SCRIPTS) + 1, np.int64)
+    for a in range(0, len(text), 1 << 20):
+        count += np.bincount(_scripts()[np.frombuffer(text[a : a + (1 << 20)].encode("utf-32-le"), "<u4")], minlength=len(count))
+    return SCRIPTS[int(count[:-1].argmax())] if count[:-1].any() else "none"
 
 
 def measure(text: str | None, path: str) -> tuple:

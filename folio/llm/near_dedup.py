@@ -1,18 +1,18 @@
 """Near-duplicate components by a chosen-path set similarity join.
 
 Texts become sets of hashed word shingles. Equal sets are one class from the start, so copies cost one
-row. Each class carries minima of its set under ``PERMS`` multiply-shift functions. ``TREES``
-independent trees branch the classes: a node chooses one coordinate, and with probability
-``1 / similarity - 1`` a second, and sends every class to the child named by its minimum there; two
+row. Each class carries minima of its set under ``PERMS`` multiply-shift functions, by which similarities
+are estimated. Independent trees branch the classes: a node has one function of its own, and with probability
+``1 / similarity - 1`` a second, and sends every class to the child named by the full set's minimum under it; two
 sets at the threshold meet again in about one child per node. Nodes with a single class end;
 nodes of at most ``LIMIT`` classes are compared exhaustively. In a larger node every member is compared
 with two pivots, the most central member and a random one, and the node branches on if it still holds
 several components afterwards. A group of copies around one text so becomes one component at its first
 pivots, and only what stays apart from it goes deeper. After ``TURNS`` turns the nodes left are compared
 exhaustively too. By the branching process, a tree loses a pair at similarity 0.85 with probability 0.23
-in two levels, 0.42 in five, 0.53 in eight and 0.70 in seventeen; twelve trees lose it together with 2e-8,
-3e-5, 5e-4 and 1.4e-2. Most pairs meet at two levels. Those that go deeper are in large nodes, apart from both
-pivots there.
+in two levels, 0.42 in five, 0.53 in eight and 0.70 in seventeen, the deepest; ``trees`` gives as many as lose it
+together with at most ``LOSS`` there. Most pairs meet at two levels. Those that go deeper are in large nodes,
+apart from both pivots there.
 
 Only pairs of different components are ever checked, best estimates first, until no candidate is left:
 links within a component can't change the answer. Every link is confirmed on the full sets, which are
@@ -28,6 +28,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,9 @@ from pyspark.sql import functions as F
 from .bytehash import Windows, mix, words
 from .common import components, cut, release, with_row
 
-PERMS, TREES, LIMIT, TURNS, DEEPER = 128, 12, 64, 5, 3
+PERMS, LIMIT, TURNS, FIRST, DEEPER = 128, 64, 5, 2, 3
+#: At most so large a share of the pairs at the threshold is lost at the deepest level.
+LOSS = 1e-3
 #: Estimates this far below the threshold, over four standard deviations, aren't looked at.
 MARGIN = 0.14
 #: Bytes of text hashed at once.
@@ -49,6 +52,15 @@ _MULT = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def trees(similarity: float) -> int:
+    """As many trees as lose together at most ``LOSS`` of the pairs at this similarity at the deepest level."""
+    s, second, lost = similarity, 1 / similarity - 1, 0.0
+    for _ in range(FIRST + TURNS * DEEPER):
+        apart = 1 - s + s * lost
+        lost = (1 - second) * apart + second * apart**2
+    return max(1, math.ceil(math.log(LOSS) / math.log(lost))) if lost else 1
+
+
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -82,51 +94,68 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _sketch(x: np.ndarray) -> bytes:
-    out = np.full(PERMS, 2**64 - 1, np.uint64)
+def _minima(x: np.ndarray, mult: np.ndarray) -> np.ndarray:
+    out = np.full(len(mult), 2**64 - 1, np.uint64)
     for a in range(0, len(x), 4096):
-        np.minimum(out, (x[None, a : a + 4096] * _MULT[:, None]).min(axis=1), out=out)
-    return (mix(out) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+        np.minimum(out, (x[None, a : a + 4096] * mult[:, None]).min(axis=1), out=out)
+    return out
+
+
+def _sketch(x: np.ndarray) -> bytes:
+    return (mix(_minima(x, _MULT)) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
 
 
-def _sets(docs: DataFrame, k: int, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
-    """``(_row, doc_id, md, n, key, sig)`` of every document, cut."""
+def _sets(docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    """``(_row, doc_id, md, n, key, sig, nodes)`` of every document, cut; ``nodes`` are those of the first levels."""
     text = F.coalesce(docs[text_col], F.lit(""))
     row = [docs[row_col].alias("_row")] if row_col else []
     d = docs.select(*row, docs[id_col].cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("md"), F.encode(text, "UTF-8").alias("text"))
     d = d if row_col else with_row(d)
 
+    roots = np.arange(1, trees(similarity) + 1, dtype=np.uint64)
+
     def run(batches):
         for b in batches:
-            n, key, sig = [], [], []
+            n, key, sig, nodes = [], [], [], []
             for x in shingle_sets(b.column("text").to_pylist(), k):
                 n.append(len(x))
                 key.append(np.array([x.sum(dtype=np.uint64), mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], "<u8").tobytes())
                 sig.append(_sketch(x) if len(x) else None)
-            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("doc_id"), b.column("md"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["_row", "doc_id", "md", "n", "key", "sig"])
+                nodes.append(_reached(x, roots, FIRST, similarity).view(np.int64) if len(x) else None)
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("doc_id"), b.column("md"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["_row", "doc_id", "md", "n", "key", "sig", "nodes"])
+
+    return cut(d.mapInArrow(run, "_row long, doc_id long, md binary, n long, key binary, sig binary, nodes array<long>"))
 
-    return cut(d.mapInArrow(run, "_row long, doc_id long, md binary, n long, key binary, sig binary"))
 
+def _reached(x: np.ndarray, node: np.ndarray, levels: int, similarity: float) -> np.ndarray:
+    """The nodes that a set at ``node`` reaches so many levels down.
 
-def _branch(classes: DataFrame, levels: int, similarity: float) -> DataFrame:
-    """``(node, c)``: the nodes that each row of ``classes(node, c, sig)`` reaches so many levels down."""
+    Every node has functions of its own, and their minima are of the full set: neither trees nor levels
+    share a sketch.
+    """
     second = np.uint64(int((1 / similarity - 1) * 2**32))
+    for _ in range(levels):
+        more = node[(mix(node) >> np.uint64(32)) < second]
+        pick = np.concatenate((mix(node * _STEP[40] + _STEP[41]), mix(more * _STEP[42] + _STEP[43])))
+        node = mix(pick * _STEP[44] + mix(_minima(x, pick | np.uint64(1))))
+    return node
+
+
+def _branch(held: DataFrame, texts: DataFrame, levels: int, similarity: float, k: int) -> DataFrame:
+    """``(node, c)``: the nodes that the classes of ``held(node, c)`` reach so many levels down."""
+    # a class is in a few nodes of each tree, and its text is read once for all
+    of = held.groupBy("c").agg(F.collect_list("node").alias("nodes")).join(texts, "c").select("c", "nodes", "text")
 
     def run(batches):
         for b in batches:
-            c = b.column("c").to_numpy(zero_copy_only=False)
-            node = b.column("node").to_numpy(zero_copy_only=False).astype(np.uint64)
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(len(c), PERMS)
-            at = np.arange(len(c))
-            for _ in range(levels):
-                r = mix(node)
-                one, two = r % np.uint64(PERMS), (r >> np.uint64(8)) % np.uint64(PERMS)
-                more = ((r >> np.uint64(32)) < second) & (one != two)
-                at, node, pick = np.concatenate((at, at[more])), np.concatenate((node, node[more])), np.concatenate((one, two[more]))
-                node = mix(node * _STEP[40] + pick * _STEP[41] + sig[at, pick.astype(np.int64)].astype(np.uint64) * _STEP[42])
-            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(c[at])], ["node", "c"])
+            at, c = b.column("nodes").to_pylist(), b.column("c").to_pylist()
+            text = b.column("text")
+            for lo in range(0, len(c), 200):
+                part = [x.as_py() for x in text[lo : lo + 200]]
+                to = [_reached(x, np.array(n, np.int64).view(np.uint64), levels, similarity).view(np.int64) for x, n in zip(shingle_sets(part, k), at[lo : lo + 200], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), pa.array(np.repeat(c[lo : lo + 200], [len(n) for n in to]))], ["node", "c"])
 
-    return classes.select("node", "c", "sig").mapInArrow(run, "node long, c long")
+    return of.mapInArrow(run, "node long, c long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -228,13 +257,12 @@ def near_dedup(
     """One row for each document: ``_row, doc_id, n_shingles, component_id, kept``."""
     num, den = similarity
     least = num / den - MARGIN
-    d = _sets(docs, k, id_col, text_col, row_col)
+    d = _sets(docs, k, num / den, id_col, text_col, row_col)
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row"))
-    g = d.where("n > 0").groupBy("n", "key").agg(low.alias("low"), F.min("_row").alias("c"), F.first("md").alias("md"), F.first("sig").alias("sig"))
+    g = d.where("n > 0").groupBy("n", "key").agg(low.alias("low"), F.min("_row").alias("c"), F.first("md").alias("md"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))
     classes = cut(g)
 
-    root = classes.select(F.explode(F.array(*(F.lit(t + 1).cast("long") for t in range(TREES)))).alias("node"), "c", "sig")
-    nodes, texts, roots, waiting, tried = cut(_branch(root, 2, num / den)), None, None, None, None
+    nodes, texts, roots, waiting, tried = classes.select(F.explode("nodes").alias("node"), "c"), None, None, None, None
     for turn in range(TURNS + 1):
         # nodes of several components, by size
         at = nodes if roots is None else _rooted(nodes, roots, "c", "r")
@@ -291,7 +319,7 @@ def near_dedup(
             break
         held = _rooted(core.select("node", "c"), roots, "c", "r")
         apart = held.groupBy("node").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("node")
-        nodes = cut(_branch(core.select("node", "c").join(apart, "node").join(classes.select("c", "sig"), "c"), DEEPER, num / den))
+        nodes = cut(_branch(core.select("node", "c").join(apart, "node"), texts, DEEPER, num / den, k))
 
     of = classes.select("n", "key", "low", "c")
     of = _rooted(of, roots, "c", "r")

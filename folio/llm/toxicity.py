@@ -40,6 +40,9 @@ INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "p
 #: Patterns of direct abuse.
 PATTERNS = (r"\b(?:you|they|those people)(?: are|'re) (?:an? |all |such )?(?:%s)\b" % "|".join(INSULTS), r"\b(?:shut up|go to hell|hate (?:you|them)|kill yourself)\b")
 
+#: Of each pattern, substrings of which every match holds one.
+GUARDS = (tuple(w for w in INSULTS if not any(x in w for x in INSULTS if x != w)), ("shut up", "go to hell", "hate you", "hate them", "kill yourself"))
+
 #: ASCII punctuation, digits and white space part words; the rest of the text, in lower case, stays.
 _PART = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
@@ -119,10 +122,9 @@ class Voters:
                 out |= b
                 hits += 1
         out |= (1 << (LEXICONS + 1)) * (hits >= 2)
-        if out:  # each pattern holds a word of the fixed lexicon or is rare enough to be looked for alone
-            low = (text or "").lower()
-            for k, p in enumerate(self.patterns):
-                out |= (1 << (LEXICONS + 2 + k)) * bool(p.search(low))
+        low = (text or "").lower()
+        for k, (p, guard) in enumerate(zip(self.patterns, GUARDS, strict=True)):
+            out |= (1 << (LEXICONS + 2 + k)) * (any(g in low for g in guard) and bool(p.search(low)))
         return out
 
 

@@ -33,18 +33,17 @@ SHARD, MERGE = 60_000, 20
 CACHE = 1_000_000
 #: ASCII punctuation that never begins a contraction.
 MARKS = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~"
-_kept: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_kept: dict[str, tuple[object, dict[bytes, bytes], list[bytes]]] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer and this worker's word cache."""
+    """The tokenizer, this worker's word cache, and the tokens added to the vocabulary, in lower case."""
     if path not in _kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _kept[path] = (t, {})
+        _kept[path] = (t, {}, [x.content.encode().lower() for x in t.get_added_tokens_decoder().values()])
     return _kept[path]
 
 
@@ -75,11 +74,16 @@ def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text, by a vocabulary that lower-cases and drops white space.
 
     It splits at white space before its merges, so a word's ids don't depend on its neighbours: each
-    distinct word is encoded once and kept.
+    distinct word is encoded once and kept. Added tokens, such as the terminator's, are found before that,
+    inside words too and by case: a text that may hold one is encoded whole.
     """
-    tokenizer, cache = _tokenizer(path)
+    tokenizer, cache, added = _tokenizer(path)
     for text in texts:
-        words = text.lower().split()
+        low = text.lower()
+        if any(x in low for x in added):
+            yield np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            continue
+        words = low.split()
         if new := {w for w in words if w not in cache}:
             if len(cache) + len(new) > CACHE:
                 cache.clear()

@@ -1,23 +1,27 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame functions only.
 
 Every source gets a target in words. Within a source the rates of the documents are exponentially
-tilted, ``rate = min(cap, exp(lambda * tilt))`` with ``tilt = ln(1 + size) / ln(1 + largest size)``:
-the rates nearest to one, in relative entropy, under the source's word constraint. ``lambda`` solves
-``sum(size * rate) = target``, the gradient of a convex dual, by Newton steps kept inside a bracket.
+tilted, ``rate = min(cap, exp(lambda * size))``: of all rates up to the cap that meet the source's word constraint,
+those nearest to one in relative entropy. ``lambda`` solves ``sum(size * rate) = target``, the gradient
+of a convex dual, by Newton steps kept inside a bracket.
 
 Documents of equal source and size have equal rates, so the iterations run on the grouped counts of
 (source, size), whose number is bounded by sources times distinct sizes: the first grouping is
 pre-aggregated before its shuffle and a hot source is only a few thousand cells. Rates become whole
 copies by systematic rounding along the sizes, and for a few rounds the cell that comes nearest to what
-is still missing moves by as many copies as fit. Inside a cell the copies go to documents in the order of a hash,
-in slices of about ``SLICE`` documents, so no window ever holds a hot cell.
+is still missing moves by as many copies as fit. Inside a cell the copies go to documents in the order of a hash of
+id and text, so that the layout of the table doesn't matter, in slices of about ``SLICE`` documents, so no
+window ever holds a hot cell. Documents of size 0 meet no window.
 
-Defined cases: null text has size 0; documents of size 0 are taken 0 times; a null source is a source
-of its own, ranked last; repeated rows are documents of their own; an empty table gives an empty result.
+Defined cases: null text has size 0; documents of size 0 are taken 0 times; very long texts are cells of their own; a
+null source is a source of its own, ranked last; repeated rows are documents of their own, ties among them broken by
+row number; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +30,8 @@ from .common import WORD, cut, text_of, with_row
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents of one cell whose copies are dealt in one window.
 SLICE = 1000
-#: Newton steps at most, and the relative residual at which they stop.
-STEPS, CLOSE = 60, 1e-9
+#: Jobs of so many Newton steps each at most, and the relative residual at which they stop.
+STEPS, TOGETHER, CLOSE = 30, 3, 1e-9
 
 
 def targets(totals: DataFrame, share: float, cap: float, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -51,42 +55,42 @@ def targets(totals: DataFrame, share: float, cap: float, weights: tuple[float, .
     return t.select("source", "source_size", F.least(F.col("top"), F.col("level") * F.col("w")).alias("target"))
 
 
-def _rate(lam: Column, tilt: Column, cap: float) -> Column:
-    return F.least(F.lit(cap), F.exp(lam * tilt))
+def _rate(lam: Column, size: Column, cap: float) -> Column:
+    return F.least(F.lit(cap), F.exp(lam * size))
 
 
 def solve(cells: DataFrame, goals: DataFrame, cap: float) -> DataFrame:
-    """``(source, lam)``: the dual solution of each source.
+    """``(source, lam, target)``: the dual solution of each source.
 
-    ``cells(source, size, n, tilt)``; ``goals(source, target)``. Each step is one pre-aggregated
-    grouping of the cells; only the number of sources that aren't settled comes back.
+    ``cells(source, size, n)``; ``goals(source, target)``. Each step is one pre-aggregated grouping of the
+    cells, ``TOGETHER`` of them to a job; only whether sources are left that aren't settled comes back.
     """
-    state = cut(goals.select("source", "target", F.lit(0.0).alias("lam"), F.lit(-700.0).alias("lo"), F.lit(700.0).alias("hi"), F.lit(False).alias("done")))
+    state = cut(goals.select("source", "target", F.lit(0.0).alias("lam"), F.lit(-800.0).alias("lo"), F.lit(math.log(cap) + 0.01).alias("hi"), F.lit(False).alias("done")))
     for _ in range(STEPS):
-        s = state.alias("s")
-        rate = _rate(F.col("lam"), F.col("tilt"), cap)
-        words = F.col("n") * F.col("size")
-        slope = F.when(F.exp(F.col("lam") * F.col("tilt")) < cap, words * F.col("tilt") * rate).otherwise(0.0)
-        sums = (
-            cells.alias("c")
-            .join(s, F.col("c.source").eqNullSafe(F.col("s.source")))
-            .select(F.col("s.source").alias("source"), (words * rate).alias("got"), slope.alias("slope"))
-            .groupBy("source")
-            .agg(F.sum("got").alias("got"), F.sum("slope").alias("slope"))
-        )
-        b = state.alias("b").join(sums.alias("m"), F.col("b.source").eqNullSafe(F.col("m.source")), "left")
-        miss = F.coalesce(F.col("got"), F.lit(0.0)) - F.col("target")
-        lo, hi = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo")), F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
-        step = F.col("lam") - F.try_divide(miss, F.col("slope"))
-        nxt = F.when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
-        settled = (F.abs(miss) <= F.col("target") * CLOSE) | (hi - lo < 1e-12) | F.col("got").isNull()
-        state = cut(
-            b.select(
+        for _ in range(TOGETHER):
+            s = state.alias("s")
+            rate = _rate(F.col("lam"), F.col("size"), cap)
+            words = F.col("n") * F.col("size")
+            slope = F.when(F.col("lam") * F.col("size") < math.log(cap), words * F.col("size") * rate).otherwise(0.0)
+            sums = (
+                cells.alias("c")
+                .join(s, F.col("c.source").eqNullSafe(F.col("s.source")))
+                .select(F.col("s.source").alias("source"), (words * rate).alias("got"), slope.alias("slope"))
+                .groupBy("source")
+                .agg(F.sum("got").alias("got"), F.sum("slope").alias("slope"))
+            )
+            b = state.alias("b").join(sums.alias("m"), F.col("b.source").eqNullSafe(F.col("m.source")), "left")
+            miss = F.coalesce(F.col("got"), F.lit(0.0)) - F.col("target")
+            lo, hi = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo")), F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
+            step = F.col("lam") - F.try_divide(miss, F.col("slope"))
+            nxt = F.when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
+            settled = (F.abs(miss) <= F.col("target") * CLOSE) | (hi - lo < 1e-15) | F.col("got").isNull()
+            state = b.select(
                 F.col("b.source").alias("source"), "target",
                 F.when(F.col("done") | settled, F.col("lam")).otherwise(nxt).alias("lam"),
                 lo.alias("lo"), hi.alias("hi"), (F.col("done") | settled).alias("done"),
-            )
-        )
+            )
+        state = cut(state)
         if state.where("not done").limit(1).count() == 0:
             break
     return state.select("source", "lam", "target")
@@ -95,7 +99,7 @@ def solve(cells: DataFrame, goals: DataFrame, cap: float) -> DataFrame:
 def round_cells(cells: DataFrame, solved: DataFrame, cap: float, corrections: int = 6) -> DataFrame:
     """``(source, size, n, copies)``: whole copies of each cell, between 0 and cap * n."""
     c = cells.alias("c").join(solved.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
-    c = c.select("c.source", "size", "n", "target", (F.col("n") * _rate(F.col("lam"), F.col("tilt"), cap)).alias("want"))
+    c = c.select("c.source", "size", "n", "target", (F.col("n") * _rate(F.col("lam"), F.col("size"), cap)).alias("want"))
     upto = F.sum("want").over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     c = c.withColumn("upto", upto)
     copies = F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("want") + 0.5)
@@ -121,26 +125,26 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, id_col: str = "do
     d = docs.select(
         *row, docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
         F.regexp_count(text_of(docs, text_col), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(docs[id_col], docs[text_col]).alias("h"),
     )
     d = cut(d if row_col else with_row(d))
     cells = d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    totals = cut(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.max("size").alias("largest")))
+    totals = cut(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
     goals = cut(targets(totals, share, cap))
-    cells = cells.where("size > 0").alias("c").join(totals.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-    cells = cut(cells.select("c.source", "size", "n", (F.log1p("size") / F.log1p("largest")).alias("tilt")))
+    cells = cut(cells.where("size > 0"))
     rounded = round_cells(cells, solve(cells, goals, cap), cap)
 
-    d = d.alias("d").join(rounded.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.size") == F.col("r.size")), "left")
-    key = F.xxhash64("doc_id", "_row")
-    d = d.select("_row", "doc_id", "d.source", "d.size", "n", "copies", key.alias("h"))
-    d = d.withColumn("part", F.pmod(F.xxhash64("h"), F.ceil(F.coalesce("n", F.lit(1)) / SLICE)))
+    some = d.where("size > 0").alias("d").join(rounded.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.size") == F.col("r.size")))
+    some = some.select("_row", "doc_id", "d.source", "d.size", "n", "copies", "h")
+    some = some.withColumn("part", F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / SLICE)))
     part = Window.partitionBy("source", "size", "part")
-    d = d.withColumns({"rank": F.row_number().over(part.orderBy("h", "_row")), "here": F.count(F.lit(1)).over(part)})
+    some = some.withColumns({"rank": F.row_number().over(part.orderBy("h", "_row")), "here": F.count(F.lit(1)).over(part)})
     base = F.floor(F.col("copies") / F.col("n"))
     more = F.col("here") * F.pmod("copies", "n") / F.col("n")
     # one slice: exactly the rest; several: the expected rest, rounded by the slice's own hash
     dither = F.when(F.col("n") <= SLICE, F.lit(1e-6)).otherwise(F.pmod(F.xxhash64("source", "size", "part"), F.lit(1 << 20)) / float(1 << 20))
-    copies = F.coalesce(base + F.when(F.col("rank") <= F.floor(more + dither), 1).otherwise(0), F.lit(0)).cast("long")
-    d = d.select("_row", "doc_id", "source", "size", copies.alias("copies"))
-    out = d.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
+    copies = (base + F.when(F.col("rank") <= F.floor(more + dither), 1).otherwise(0)).cast("long")
+    out = some.select("_row", "doc_id", "source", "size", copies.alias("copies"))
+    out = out.unionByName(d.where("size = 0").select("_row", "doc_id", "source", "size", F.lit(0).cast("long").alias("copies")))
+    out = out.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
     return out.select("_row", "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -2,16 +2,17 @@
 
 A piece needs tokens, one document place and attention cost (the square of its length). A bin's
 residual capacities are a vector of the three; every constraint must hold for a piece to enter, and
-among the bins that admit it the one with the largest weighted dot product of demand and residual, or
-the smallest residual norm, is taken. Full pieces are sequences at once.
+among all open bins that admit it the one with the largest weighted dot product of demand and residual, or
+the smallest weighted norm of what it leaves, is taken. Full pieces are sequences at once.
 
 Pieces are dealt by hash to shards of about ``SHARD`` pieces, each packed in one task in decreasing
 order of length; what stays under-filled in the shards is gathered per ``MERGE`` shards and packed again, so
 that the loss is below one bin in some hundred, while no task holds more than a bounded number of
 pieces, whatever the size of the corpus.
 
-Defined cases: null text is the terminator alone; empty texts too; repeated rows are documents of their
-own; ties are broken by row number; an empty table gives an empty result.
+Defined cases: null text is the terminator alone; empty texts too; very long texts become as many pieces as they
+need; repeated rows are documents of their own; ties are broken by row number; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,52 +113,52 @@ def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, end_id: int
 
 
 class Bins:
-    """Open bins by residual tokens; within a level, the least loaded by documents and cost come first."""
+    """Open bins by their residual tokens, documents and cost; bins of equal residuals are as good as one."""
 
-    def __init__(self, tokens: int, docs: int, cost: float, weights: tuple[float, float, float], rule: str, width: int):
-        self.cap, self.weights, self.rule, self.width = (tokens, docs, cost), weights, rule, width
-        self.levels: list[list[int]] = [[] for _ in range(tokens + 1)]
+    def __init__(self, tokens: int, docs: int, cost: float, weights: tuple[float, float, float], rule: str):
+        self.cap, self.rule = (tokens, docs, cost), rule
+        self.scale = tuple(w / (c * c) for w, c in zip(weights, self.cap, strict=True))
+        self.levels: list[dict[tuple[int, float], list[int]]] = [{} for _ in range(tokens + 1)]
         self.open = 0  # a bit for each level with bins
-        self.residual: list[list[float]] = []
-
-    def _score(self, need: tuple[int, int, float], bin_: int) -> float:
-        r = self.residual[bin_]
-        if self.rule == "dot":
-            # of demand and residual, as shares of the capacities
-            return sum(w * n * x / (c * c) for w, n, x, c in zip(self.weights, need, r, self.cap, strict=True))
-        return -sum(w * ((x - n) / c) ** 2 for w, n, x, c in zip(self.weights, need, r, self.cap, strict=True))
+        self.bins = 0
+
+    def _best(self, need: tuple[int, int, float]) -> tuple[int, tuple[int, float]] | None:
+        """Level and other residuals of the best bin that admits a piece under every constraint."""
+        (n, _, cost), (wt, wd, wc), norm = need, self.scale, self.rule == "norm"
+        best, at = None, None
+        mask = self.open >> n << n
+        while mask:
+            level = (mask & -mask).bit_length() - 1
+            mask &= mask - 1
+            own = wt * (level - n) ** 2
+            if norm and at is not None and own >= at:
+                break  # levels beyond leave more tokens alone than the best does in all
+            for docs, left in self.levels[level]:
+                if docs >= 1 and left >= cost:
+                    # of demand and residual as shares of the capacities: the norm of what is left, or the product
+                    score = own + wd * (docs - 1) ** 2 + wc * (left - cost) ** 2 if norm else -(wt * n * level + wd * docs + wc * cost * left)
+                    if at is None or score < at:
+                        best, at = (level, (docs, left)), score
+        return best
 
     def place(self, length: int) -> int:
         need = (length, 1, float(length) ** 2)
-        best, at, seen = -1, None, 0
-        mask = self.open >> length << length
-        while mask and seen < self.width:
-            level = (mask & -mask).bit_length() - 1
-            mask &= mask - 1
-            for b in reversed(self.levels[level]):
-                r = self.residual[b]
-                if r[1] >= 1 and r[2] >= need[2]:
-                    score = self._score(need, b)
-                    if at is None or score > at:
-                        best, at = b, score
-                    seen += 1
-                    if seen >= self.width:
-                        break
-        if best < 0:
-            best = len(self.residual)
-            self.residual.append(list(self.cap))
+        found = self._best(need)
+        if found is None:
+            level, (docs, left), bin_ = *(self.cap[0], self.cap[1:]), self.bins
+            self.bins += 1
         else:
-            level = int(self.residual[best][0])
-            self.levels[level].remove(best)
-            if not self.levels[level]:
-                self.open &= ~(1 << level)
-        r = self.residual[best]
-        r[0], r[1], r[2] = r[0] - length, r[1] - 1, r[2] - need[2]
-        if r[0] > 0 and r[1] > 0:
-            level = int(r[0])
-            self.levels[level].append(best)
+            level, (docs, left) = found
+            bin_ = self.levels[level][docs, left].pop()
+            if not self.levels[level][docs, left]:
+                del self.levels[level][docs, left]
+                if not self.levels[level]:
+                    self.open &= ~(1 << level)
+        level, docs, left = level - length, docs - 1, left - need[2]
+        if level > 0 and docs > 0:
+            self.levels[level].setdefault((docs, left), []).append(bin_)
             self.open |= 1 << level
-        return best
+        return bin_
 
 
 def _pack(lengths: np.ndarray, **kw) -> np.ndarray:
@@ -186,18 +187,17 @@ def pack(
     max_tokens: int = 2048,
     max_docs: int = 2048,
     max_cost: float | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.1, 0.1),
+    weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4),
     rule: str = "norm",
-    width: int = 4,
     **columns: str,
 ) -> DataFrame:
     """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     ``max_docs`` and ``max_cost`` are the other two capacities; their defaults, one document a token
-    and the square of the sequence, never bind, so that the fewest sequences come out. ``width``: bins
-    compared for a piece, from the tightest in tokens on; ``rule``: ``norm`` or ``dot``.
+    and the square of the sequence, never bind, so that the fewest sequences come out; the small weights let
+    them decide among bins that are about equally tight in tokens. ``rule``: ``norm`` or ``dot``.
     """
-    kw = {"tokens": max_tokens, "docs": max_docs, "cost": float(max_cost or max_tokens**2), "weights": weights, "rule": rule, "width": width}
+    kw = {"tokens": max_tokens, "docs": max_docs, "cost": float(max_cost or max_tokens**2), "weights": weights, "rule": rule}
     p = pieces(docs, vocabulary, max_tokens, **columns)
     whole = p.where(F.col("length") == max_tokens)
     parts = p.where(F.col("length") < max_tokens).select("_row", "piece", "length")
@@ -210,7 +210,8 @@ def pack(
     placed = first.where("not open").withColumn("turn", F.lit(1)).unionByName(again.withColumn("turn", F.lit(2)))
     # each sequence is at most max_docs rows, so this window is bounded
     before = F.expr("coalesce(sum(length) over (partition by turn, shard, bin order by _row, piece rows between unbounded preceding and 1 preceding), 0)")
-    key = F.expr("bigint((shard * 2 + turn - 1) * 1048576 + bin) * 2")
+    # the lowest bit: not a whole piece alone; the next: the turn; then 30 bits of the bin
+    key = F.expr("shiftleft(shard, 32) + shiftleft(bin, 2) + (turn - 1) * 2")
     placed = placed.select("_row", "piece", key.alias("sequence_id"), before.alias("offset"))
     alone = whole.select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     joined = p.where(F.col("length") < max_tokens).join(placed, ["_row", "piece"])

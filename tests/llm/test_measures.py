@@ -39,7 +39,6 @@ def test_packing(spark, rows):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = pack(table(spark, rows), path, max_tokens=256).collect()
     want = Counter()
     for i, x, *_ in rows:
@@ -63,7 +62,7 @@ def test_packing(spark, rows):
 def test_packing_constraints(spark, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     for rule in ("norm", "dot"):
-        got = pack(table(spark, rows), path, max_tokens=256, max_docs=2, max_cost=40_000.0, weights=(1.0, 1.0, 1.0), rule=rule, width=8).collect()
+        got = pack(table(spark, rows), path, max_tokens=256, max_docs=2, max_cost=40_000.0, weights=(1.0, 1.0, 1.0), rule=rule).collect()
         bins = defaultdict(list)
         for r in got:
             bins[r.sequence_id].append(r.length)

@@ -1,15 +1,15 @@
 """Quality rules by tokenizer fertility.
 
 A public vocabulary measures every whole text: characters per token, the share of byte-fallback tokens
-and the entropy of its tokens relative to the most that as many tokens could have. A word and the marks
-after it are encoded apart, and each distinct part once for each worker.
+and the entropy of its tokens relative to the most that as many tokens could have. The vocabulary never joins
+words, so each distinct word, marks included, is encoded once for each worker.
 
 Rejection bands follow the corpus: for every language, or script where the language is null, quartiles of
 the measures over all documents that pass the base rules, widened by ``WIDTH`` interquartile ranges. The
 quartiles come from mergeable sketches, so a language with most of the rows is aggregated before its
 shuffle. Groups of fewer than ``FEW`` documents use the bands of all documents.
 
-Defined cases: null text has no words; texts without words fail the base rules; repeated rows are
+Defined cases: null text has no words; very long texts are measured whole; texts without words fail the base rules; repeated rows are
 judged row by row; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -29,7 +29,6 @@ SYMBOLS = "#*$%&|<>"
 SCRIPTS = ("arabic", "cyrillic", "greek", "han", "hebrew", "latin", "other")
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 _kept: dict[str, tuple] = {}
-_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 
 
 def _pieces(path: str):
@@ -48,13 +47,9 @@ def _ids(words: list[bytes], path: str) -> np.ndarray:
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = set(words)
-        cores = {w: w.rstrip(_MARKS) or w for w in new}
-        parts = [p for p in {*cores.values(), *(w[len(c) :] for w, c in cores.items() if len(c) < len(w))} if p not in cache]
-        for p, ids in zip(parts, model.encode([p.decode() for p in parts], num_threads=1), strict=True):
-            cache[p] = np.array(ids, "<i4").tobytes()
-        for w, c in cores.items():
-            if len(c) < len(w):
-                cache[w] = cache[c] + cache[w[len(c) :]]
+        new = list(new)
+        for w, ids in zip(new, model.encode([w.decode() for w in new], num_threads=1), strict=True):
+            cache[w] = np.array(ids, "<i4").tobytes()
     return np.frombuffer(b"".join(map(cache.__getitem__, words)), "<i4")
 
 

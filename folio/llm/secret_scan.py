@@ -1,20 +1,22 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Base patterns find assignments, access keys and hex strings in every whole text. Further candidates,
-long tokens of mixed characters and tokens of known shapes, are hashed and counted over the corpus by
-distinct owners and repositories: what many owners hold is a copied example, what one owner holds in
-few repositories looks live, and only the latter become spans besides the base ones.
+Base patterns find assignments, access keys and hex strings in every whole text; further candidates are
+long tokens of mixed characters and tokens of known shapes. The values of all of them, those of base spans too, are hashed
+and counted over the corpus by distinct owners and repositories. What more than ``max_owners`` owners hold, or
+stands in more than ``max_repositories``, is a widely copied example; the rest is owner-specific and looks live. Base spans
+stay in any case and get their class; other candidates become spans if they look live.
 
-Candidates are reduced to distinct (value, owner, repository) before owners are counted, so a value in
-a third of all rows is a few rows; the join back keeps values that look live alone.
+Values are reduced to distinct (value, owner, repository) before owners are counted, so a value in a
+third of all rows is a few rows; the join back is of the occurrences with one row for each value, which Spark may split.
 
 Defined cases: null text is empty; a null owner is an owner of its own; copies of a document within a
-repository count once; repeated rows are scanned row by row; an empty table gives an empty result; extra columns
-are ignored.
+repository count once; very long texts are scanned whole; of candidates that overlap the kind listed first stays, then the
+leftmost; repeated rows are scanned row by row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -71,53 +73,63 @@ def candidates(text: str, base: list[tuple[int, int, int]], least_bits: float =
         v = m[0]
         if any(c.isdigit() for c in v) and any(c.isupper() for c in v) and any(c.islower() for c in v) and _bits(v) >= least_bits:
             found.append((m.start(), 5, m.end()))
+    taken = sorted((a, b) for a, _, b in base)
+    # base spans of different kinds may overlap each other: how far any of them reaches so far
+    reach, most = [], 0
+    for _, b in taken:
+        most = max(most, b)
+        reach.append(most)
+    mine: list[tuple[int, int]] = []
     out: list[tuple[int, int, int]] = []
     for s, k, e in sorted(found, key=lambda x: (x[1], x[0])):
-        if all(e <= a or s >= b for a, _, b in (*base, *out)):
+        i, j = bisect.bisect_left(taken, (e, 0)), bisect.bisect_left(mine, (e, 0))
+        if (i == 0 or reach[i - 1] <= s) and (j == 0 or mine[j - 1][1] <= s):
+            bisect.insort(mine, (s, e))
             out.append((s, k, e))
     return sorted(out)
 
 
+def value_of(text: str, span: tuple[int, int, int]) -> str:
+    """What is secret in a span: of an assignment, what is assigned."""
+    s, k, e = span
+    return _ASSIGN.match(text, s, e)[2] if k == 0 else text[s:e]
+
+
 def scan(
     docs: DataFrame, max_owners: int = 1, max_repositories: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")
 ) -> DataFrame:
     """One row for each document: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, found``.
 
-    ``found`` lists (kind, start, end, owners, repositories) of the spans that the method adds.
+    ``found`` lists (kind, start, end, owners, repositories, live) of all base spans and of those that the method adds.
     """
     owner = F.coalesce(docs[owner_col].cast("string"), F.lit("\0"))
     repo = F.to_json(F.array(*(docs[c].cast("string") for c in repo_cols)))
     d = with_row(docs.select(docs[id_col].alias("doc_id"), owner.alias("owner"), repo.alias("repo"), docs[text_col].alias("text")))
     kind = d.schema["doc_id"].dataType.simpleString()
-    span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    cand = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.binary())]))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.binary())]))
 
     def run(batches):
         for b in batches:
-            base, more = [], []
+            every = []
             for t in b.column("text").to_pylist():
                 t = t or ""
                 x = base_spans(t)
-                base.append([{"start": s, "kind": k, "end": e} for s, k, e in x])
-                more.append([{"start": s, "kind": k, "end": e, "value": hashlib.sha256(t[s:e].encode()).digest()[:16]} for s, k, e in candidates(t, x)])
-            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("doc_id"), b.column("owner"), b.column("repo"), pa.array(base, span), pa.array(more, cand)], ["_row", "doc_id", "owner", "repo", "base", "more"])
+                every.append([{"start": s[0], "kind": s[1], "end": s[2], "value": hashlib.sha256(value_of(t, s).encode()).digest()[:16]} for s in (*x, *candidates(t, x))])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("doc_id"), b.column("owner"), b.column("repo"), pa.array(every, span)], ["_row", "doc_id", "owner", "repo", "every"])
 
-    schema = f"_row long, doc_id {kind}, owner string, repo string, base array<struct<start:long,kind:int,end:long>>, more array<struct<start:long,kind:int,end:long,value:binary>>"
-    d = cut(d.mapInArrow(run, schema))
+    d = cut(d.mapInArrow(run, f"_row long, doc_id {kind}, owner string, repo string, every array<struct<start:long,kind:int,end:long,value:binary>>"))
 
-    held = d.where(F.size("more") > 0).select("_row", "owner", "repo", F.explode("more").alias("m"))
-    places = held.select("m.value", "owner", "repo").distinct()
+    held = d.where(F.size("every") > 0).select("_row", "owner", "repo", F.explode("every").alias("m")).select("_row", "owner", "repo", "m.*")
+    places = held.select("value", "owner", "repo").distinct()
     counts = places.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
-    live = counts.where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
-    at = held.select("_row", "m.*").join(live, "value")
-    at = at.groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories")).alias("found"))
-
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    at = held.join(counts.withColumn("live", live), "value").where((F.col("kind") < BASE) | F.col("live"))
     names = F.array(*map(F.lit, KINDS))
-    text = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
-    d = d.select("_row", "doc_id", "base").join(at, "_row", "left")
-    added = F.transform(F.coalesce("found", F.array()), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return d.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", added)).alias("spans"), "found",
-    )
+    at = at.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories", "live"))).alias("found"))
+
+    d = d.select("_row", "doc_id").join(at, "_row", "left").withColumn("found", F.coalesce("found", F.array()))
+    base = F.filter("found", lambda s: s["kind"] < BASE)
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+    count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
+    named = F.transform("found", lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["owners"].alias("owners"), s["repositories"].alias("repositories"), s["live"].alias("live")))
+    return d.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"), named.alias("found"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session names none (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where a session on one machine (tests) names none, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or "file://" + os.path.join(tempfile.gettempdir(), "folio-checkpoint")
 
 
@@ -33,8 +36,7 @@ def scratch(spark: SparkSession, name: str, done: str | None = None):
     the one before it left.
     """
     for path in _left.pop(done, []):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(spark, path)
     _left[name] = []
     _open.append(_left[name])
     try:
@@ -43,6 +45,17 @@ def scratch(spark: SparkSession, name: str, done: str | None = None):
         _open.pop()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def drop(written: DataFrame) -> None:
+    """Deletes the table that ``cut`` wrote."""
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        _delete(written.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of jobs that are over."""
     gc.collect()
@@ -53,7 +66,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here, and lost executors
     cost a re-read, not a re-run."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/folio/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/folio/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if _open:
         _open[-1].append(path)

@@ -1,20 +1,26 @@
 """A training-corpus pipeline: five stages over the table ``documents``, each written and read again.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but the last return the columns
-of ``documents``; the last returns the packed pieces. Rows get a key that is written before use, so ids
-may repeat or be null.
+of ``documents``; the last returns the packed pieces. Rows are told apart by their place in the files they are
+read from, so ids may repeat or be null, and no stage writes its texts a second time.
+
+Defined cases, in all stages: null and empty texts are documents of size 0, equal to each other, near nothing,
+scored by the intercept alone, taken 0 times by the mix and so never packed; very long texts go through
+whole; rows with the same id are documents of their own; repeated rows are equal texts, of which one stays; an empty table gives
+an empty result; columns beyond those of ``documents`` are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from folio import ship
-from folio.llm.common import cut, release, scratch, with_row
+from folio.llm.common import cut, drop, release, scratch, with_row
 from folio.llm.exact_dedup import exact_dedup
 from folio.llm.mixing import mix
 from folio.llm.near_dedup import near_dedup
@@ -29,8 +35,16 @@ KEY = "_row"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key that a second read gives again: a hash of the file, plus the place in it.
+
+    Two files' ranges of keys meet with a probability of about files^2 * rows of a file / 2^63.
+    """
     ship(docs.sparkSession)
-    return cut(with_row(docs.select(*COLUMNS), KEY))
+    place = F.shiftright(F.xxhash64("_metadata.file_path"), 1) + F.col("_metadata.row_index")
+    try:
+        return docs.select(*COLUMNS, place.alias(KEY))
+    except AnalysisException:  # no files below: a key of our own, written before use
+        return cut(with_row(docs.select(*COLUMNS), KEY))
 
 
 def _only(keyed: DataFrame, rows: DataFrame) -> DataFrame:
@@ -55,9 +69,9 @@ def _after(previous: str | None):
 
 @_after(None)
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
-    keyed = _keyed(docs)
-    return _only(keyed, scored(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=KEY).where("predicted = 0"))
+    """Documents predicted toxic go; the others pass through the one task that scores them."""
+    ship(spark)
+    return scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 @_after("toxicity")
@@ -93,8 +107,10 @@ STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("near_dedup", near),
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = cut(docs) if k < len(STAGES) - 1 else docs
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        written = cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop(before)  # nothing reads it any more
+        docs = before = written
+    return STAGES[-1][1](spark, docs, sf_dir)

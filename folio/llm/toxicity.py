@@ -28,6 +28,7 @@ empty table gives an empty result; extra columns are ignored, or handed on where
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -42,7 +43,7 @@ from .common import cut, with_row
 
 SAMPLE, BITS, LEXICONS, PREFIXES = 40_000, 18, 4, (4, 5, 6)
 #: Entries of all mined lexicons at most, those of most toxic rows; features that one shard of the training holds.
-ENTRIES, SHARD = 4096, 1 << 23
+ENTRIES, SHARD = 4096, 1 << 22
 #: Of so many parts of the sample, one tells the accuracy of the label; lexicons come from the others.
 PARTS = 4
 #: Common insults of English.
@@ -87,8 +88,10 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text")).join(F.broadcast(few), "_id").orderBy(F.xxhash64("_id"), "_id").limit(rows).select("_id", "text", "label")
 
 
-def mine(rows: DataFrame, odds: float = 12.0, least: int = 4) -> list[tuple[bytes, int]]:
-    """``(feature, lexicon)`` of features in toxic ``rows(text, label)`` at least ``odds`` times as often as in the others.
+def mine(rows: DataFrame, odds: float = 12.0, share: float = 0.02, sure: float = 2.0, errors: float = 2.5) -> list[tuple[bytes, int]]:
+    """``(feature, lexicon)`` of features in toxic ``rows(text, label)`` at least ``odds`` times as often as in the
+    others, and still ``sure`` times when the log odds are taken so many standard ``errors`` lower. They are in
+    at least ``share`` of the toxic rows: what few hold may be the words of a group of near copies.
 
     Counted in the tasks, summed by feature; at most ``ENTRIES`` come back.
     """
@@ -105,9 +108,9 @@ def mine(rows: DataFrame, odds: float = 12.0, least: int = 4) -> list[tuple[byte
     if not n.n1:
         return []
     g = rows.select("text", "label").mapInArrow(run, "feature binary, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    # a rate below one in a thousand of the other rows is noise of the labels
-    often = F.col("n1") / n.n1 >= odds * (F.col("n0") + 0.5) / max(1, n.n0)
-    g = g.where((F.col("n1") >= max(least, n.n1 // 200)) & often).orderBy(F.col("n1").desc(), "feature").limit(ENTRIES)
+    log = F.log(((F.col("n1") + 0.5) / (n.n1 + 1)) / ((F.col("n0") + 0.5) / (n.n0 + 1)))
+    low = log - errors * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+    g = g.where((F.col("n1") >= max(4, share * n.n1)) & (log >= math.log(odds)) & (low >= math.log(sure))).orderBy(F.col("n1").desc(), "feature").limit(ENTRIES)
     chosen = [bytes(r.feature) for r in g.collect()]
     # a beginning says what the words below it say: the shortest is kept
     short = {f[:-1] for f in chosen if f.endswith(b"*")}
@@ -202,16 +205,16 @@ class LabelModel:
         return float(np.clip(np.log(self.hit[voter] / self.false[voter]), 0, 5))
 
 
-def _slots(text: str | None, kept: dict[bytes, list[int]]) -> list[int]:
+def _slots(text: str | None, kept: dict[bytes, list[int]]) -> np.ndarray:
     """The distinct feature slots of a text; ``kept``: those of words seen before."""
     row: set[int] = set()
     for w in _words(text):
         if (f := kept.get(w)) is None:
             f = [_slot(x) for x in _features(w)]
-            if len(kept) < 400_000:
+            if len(kept) < 100_000:
                 kept[w] = f
         row.update(f)
-    return sorted(row)
+    return np.array(sorted(row), np.int32)
 
 
 def fit(slots: np.ndarray, at: np.ndarray, target: np.ndarray, start: dict[int, float], passes: int = 12, l1: float = 4e-4) -> tuple[np.ndarray, float, np.ndarray]:
@@ -250,7 +253,7 @@ def trained(rows: DataFrame, start: dict[int, float]) -> np.ndarray:
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         at = np.concatenate(([0], np.cumsum([len(x) for x in p["slots"]])))
-        w, b, seen = fit(np.concatenate(p["slots"].to_list()).astype(np.int64) if at[-1] else np.zeros(0, np.int64), at, p["target"].to_numpy(), start)
+        w, b, seen = fit(np.concatenate(p["slots"].to_list()) if at[-1] else np.zeros(0, np.int32), at, p["target"].to_numpy(), start)
         held = np.flatnonzero((w != 0) & (seen > 0))
         return pd.DataFrame({"slot": np.append(held, 1 << BITS), "w": np.append(w[held], b), "n": np.append(seen[held], len(p)).astype(float)})
 

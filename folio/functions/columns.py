@@ -320,8 +320,9 @@ ENDINGS = ("erinnen", "ern", "em", "en", "er", "es", "e", "s", "n")
 def folded(x: Column) -> Column:
     """Lower case without accents; umlauts, their transcriptions and their bare vowels are equal."""
     low = F.lower(x)
-    low = replace_all(low, ("ä|ae", "a"), ("ö|oe", "o"), ("ü|ue", "u"), ("ß", "ss"))
-    return F.translate(low, "àáâãåçèéêëìíîïñòóôõùúûýÿ", "aaaaaceeeeiiiinoooouuuyy")
+    for two, one in (("ae", "a"), ("oe", "o"), ("ue", "u"), ("ß", "ss")):
+        low = F.replace(low, F.lit(two), F.lit(one))
+    return F.translate(low, "äöüàáâãåçèéêëìíîïñòóôõùúûýÿ", "aouaaaaaceeeeiiiinoooouuuyy")
 
 
 def tokens(x: Column, stop: Sequence[str] = STOP_WORDS) -> Column:

@@ -31,7 +31,9 @@ def facets(df: DataFrame, fields: dict[str, Column], top: dict[str, int] | int)
     counts = flat.groupBy("field", "term").agg(F.count(F.lit(1)).alias("docs"))
     rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("docs"), F.asc("term")))
     limits = F.create_map(*(F.lit(x) for n in fields for x in (n, top if isinstance(top, int) else top[n])))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= limits[F.col("field")]).drop("rank")
+    # the literal bound lets each task drop what can't be among the first
+    most = top if isinstance(top, int) else max(top.values())
+    return counts.withColumn("rank", rank).where((F.col("rank") <= most) & (F.col("rank") <= limits[F.col("field")])).drop("rank")
 
 
 def geohash_grid(df: DataFrame, lat: Column, lon: Column, precision: int = 9) -> DataFrame:
@@ -132,9 +134,16 @@ def latest(df: DataFrame, key: str, *version: str) -> DataFrame:
 
 
 def keep_last(df: DataFrame, group: str, n: int, *order: str) -> DataFrame:
-    """The rows beyond the last ``n`` of each group: what may be dropped."""
+    """The rows beyond the last ``n`` of each group: what may be dropped. ``order`` tells the rows of a group apart.
+
+    The n-th newest row of each group is found first, from ``n`` rows of every task, and the others are held
+    against it, so that no task ever sorts a whole group.
+    """
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*(F.desc(o) for o in order)))
-    return df.withColumn("_rank", rank).where(F.col("_rank") > n).drop("_rank")
+    last = df.select(group, *order).withColumn("_rank", rank).where(F.col("_rank") <= n).where(F.col("_rank") == n)
+    bound = last.select(F.col(group).alias("_group"), F.struct(*order).alias("_bound"))
+    j = df.join(bound, df[group].eqNullSafe(F.col("_group")))
+    return j.where(F.struct(*order) < F.col("_bound")).drop("_group", "_bound")
 
 
 def updates_since(df: DataFrame, since: str, *dates: str) -> DataFrame:

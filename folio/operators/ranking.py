@@ -15,12 +15,26 @@ def token_table(df: DataFrame, key: str, text: Column, field: str = "text", stop
     return df.select(F.col(key).alias("key"), F.lit(field).alias("field"), F.posexplode(C.tokens(text, stop)).alias("pos", "token"))
 
 
-def bm25(tokens: DataFrame, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def token_frequencies(df: DataFrame, text: Column, stop: Sequence[str] = ()) -> DataFrame:
+    """``(token, df, tf)``: documents with each token, and its places.
+
+    A document's tokens are sorted inside the row, so the first of equal ones is known before they are dealt out by
+    token: one shuffle, pre-aggregated.
+    """
+    w = df.select(F.array_sort(C.tokens(text, stop)).alias("w"))
+    each = F.transform("w", lambda x, i: F.struct(x.alias("token"), ((i == 0) | (F.try_element_at("w", i) != x)).alias("first")))
+    each = w.select(F.explode(each).alias("x"))
+    return each.groupBy(F.col("x.token").alias("token")).agg(F.count_if("x.first").alias("df"), F.count(F.lit(1)).alias("tf"))
+
+
+def bm25(df: DataFrame, key: str, text: Column, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(key, score)`` with document frequencies and lengths of the whole collection.
 
-    Lengths are one aggregate over the token table; only rows of query words go on.
+    A document is one row: its length and counts are taken inside it, and the statistics are one global aggregate.
     """
-    lengths = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("len"), *(F.count_if(F.col("token") == w).alias(f"tf{i}") for i, w in enumerate(query)))
+    is_ = lambda q: lambda x: x == q
+    w = df.select(F.col(key).alias("key"), C.tokens(text, ()).alias("w"))
+    lengths = w.select("key", F.size("w").alias("len"), *(F.size(F.filter("w", is_(q))).alias(f"tf{i}") for i, q in enumerate(query))).where("len > 0")
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
     hits = lengths.where(" or ".join(f"tf{i} > 0" for i in range(len(query)))).join(F.broadcast(stats))  # a single row
     parts = []

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import columns as C
@@ -218,16 +218,17 @@ def suggest_labels(t):
 """)
 def facet_display(t):
     f = ranking.facet_order(jobs.facet(t.orders, F.col("o_orderpriority"), 100), ["3-MEDIUM"], by_label=False)
-    return f.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)  # a facet is a short list
+    shown = Window.orderBy((F.col("term") == "3-MEDIUM").desc(), F.desc("docs"), "term")  # a facet is a short list
+    return f.withColumn("place", F.row_number().over(shown))
 
 
 @_query("""
-    select s_suppkey, cast(regexp_replace(substr(s_name, 10), '[^0-9]', '9', 'g') as bigint) as main from supplier order by main, s_suppkey limit 50
+    select s_suppkey, cast(regexp_replace(substr(s_name, 10), '[^0-9]', '9', 'g') as bigint) as main from supplier
 """)
 def isil_sort(t):
     d = t.supplier.withColumn("isil", F.concat(F.lit("DE-"), F.substring("s_name", 10, 20)))
     main, sub = ranking.isil_order(F.col("isil"))
-    return d.withColumn("main", main).orderBy("main", sub, "s_suppkey").limit(50).select("s_suppkey", "main")
+    return d.withColumn("main", main).orderBy("main", sub, "s_suppkey").select("s_suppkey", "main")
 
 
 # --- text --------------------------------------------------------------------------------------------
@@ -237,12 +238,10 @@ _WORDS_SQL = "list_filter(regexp_split_to_array(translate(regexp_replace(regexp_
 
 @_query(f"""
     with w as (select doc_id, unnest({_WORDS_SQL}) as token from documents)
-    select token, count(distinct doc_id) as df, count(*) as tf from w group by 1 having df >= 5
+    select token, count(distinct doc_id) as df, count(*) as tf from w group by 1
 """)
 def token_df(t):
-    w = ranking.token_table(t.documents, "doc_id", F.col("text"))
-    per = w.groupBy("token", "key").agg(_count().alias("n"))
-    return per.groupBy("token").agg(_count().alias("df"), F.sum("n").alias("tf")).where("df >= 5")
+    return ranking.token_frequencies(t.documents, F.col("text"))
 
 
 @_query(f"""
@@ -254,7 +253,7 @@ def token_df(t):
     from c, s where t0 > 0 or t1 > 0 order by score desc, key limit 50
 """)
 def bm25_top(t):
-    scored = ranking.bm25(ranking.token_table(t.documents, "doc_id", F.col("text")), ["trash", "license"])
+    scored = ranking.bm25(t.documents, "doc_id", F.col("text"), ["trash", "license"])
     return scored.select("key", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "key").limit(50)
 
 
@@ -264,13 +263,13 @@ def text_fold_match(t):
     return t.documents.where(search.some(search.any_term(w, "Über"), search.any_term(w, "Ueber"), search.all_terms(w, "LICENSE"))).select("doc_id")
 
 
-@_query("""
-    with e as (select 'Nation' || n_name || case when n_nationkey % 2 = 0 then 'er' else '' end as x, n_nationkey as k from nation)
-    select k, regexp_replace(lower(x), '^(.{4,}?)(erinnen|ern|em|en|er|es|e|s|n)$', '\\1') as stem from e
+@_query(f"""
+    with w as (select distinct unnest({_WORDS_SQL}) as word from documents)
+    select word, regexp_replace(word, '^(.{{4,}}?)(erinnen|ern|em|en|er|es|e|s|n)$', '\\1') as stem from w
 """)
 def stem_words(t):
-    x = F.concat(F.lit("Nation"), "n_name", F.when(F.col("n_nationkey") % 2 == 0, "er").otherwise(""))
-    return t.nation.select(F.col("n_nationkey").alias("k"), C.stemmed(F.lower(x)).alias("stem"))
+    w = t.documents.select(F.explode(C.tokens(F.col("text"), ())).alias("word")).distinct()
+    return w.select("word", C.stemmed(F.col("word")).alias("stem"))
 
 
 # --- value-level verbs -------------------------------------------------------------------------------
@@ -310,10 +309,10 @@ def lookup_each(t):
     return out.where(F.size("names") > 0).select("o_orderkey", F.array_join("names", "|").alias("names"))
 
 
-@_query("select n_nationkey, case when n_regionkey = 1 then n_name else n_name || ' (' || n_regionkey || ')' end as label from nation")
+@_query("select c_custkey, case when c_nationkey = 1 then c_name else c_name || ' (' || c_nationkey || ')' end as label from customer")
 def paste_label(t):
-    extra = F.when(F.col("n_regionkey") != 1, F.concat(F.lit("("), "n_regionkey", F.lit(")")))
-    return t.nation.select("n_nationkey", C.paste(F.col("n_name"), extra).alias("label"))
+    extra = F.when(F.col("c_nationkey") != 1, F.concat(F.lit("("), "c_nationkey", F.lit(")")))
+    return t.customer.select("c_custkey", C.paste(F.col("c_name"), extra).alias("label"))
 
 
 @_query("select l_orderkey, string_agg(distinct l_returnflag, ',' order by l_returnflag) as flags from lineitem group by 1")
@@ -331,9 +330,9 @@ def count_holders(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("holders"))
 
 
-@_query("select r_regionkey, 'https://example.org/region/' || r_name as iri from region")
+@_query("select p_partkey, 'https://example.org/brand/' || p_brand as iri from part")
 def iri_prefix(t):
-    return t.region.select("r_regionkey", C.prefixed(F.col("r_name"), "https://example.org/region/").alias("iri"))
+    return t.part.select("p_partkey", C.prefixed(F.col("p_brand"), "https://example.org/brand/").alias("iri"))
 
 
 @_query("select c_custkey, upper(substr(c_mktsegment, 3, 4)) as code from customer")
@@ -408,10 +407,10 @@ def nested_transform(t):
     return order_documents(t).select("o_orderkey", F.aggregate(doubled, F.lit(0.0), lambda a, x: a + x).alias("n"))
 
 
-@_query("select n_nationkey, i, case i when 1 then n_name when 2 then 'b' end as a, case i when 1 then 'x' when 2 then 'y' when 3 then 'z' end as b from nation, (select unnest([1, 2, 3]) as i)")
+@_query("select c_custkey, i, case i when 1 then c_name when 2 then 'b' end as a, case i when 1 then 'x' when 2 then 'y' when 3 then 'z' end as b from customer, (select unnest([1, 2, 3]) as i)")
 def zip_lists(t):
-    z = C.zipped(a=F.array("n_name", F.lit("b")), b=F.array(*map(F.lit, "xyz")))
-    return t.nation.select("n_nationkey", F.posexplode(z).alias("i", "z")).select("n_nationkey", (F.col("i") + 1).alias("i"), "z.a", "z.b")
+    z = C.zipped(a=F.array("c_name", F.lit("b")), b=F.array(*map(F.lit, "xyz")))
+    return t.customer.select("c_custkey", F.posexplode(z).alias("i", "z")).select("c_custkey", (F.col("i") + 1).alias("i"), "z.a", "z.b")
 
 
 @_query("select c_custkey from customer where not (c_acctbal < 0 or c_mktsegment = 'BUILDING')")
@@ -570,28 +569,29 @@ def fallback_label(t):
     return lookups.resolved(t.customer.withColumn("k", F.col("c_nationkey").cast("string")), "k", tables, "label").select("c_custkey", "label")
 
 
-@_query("select n_nationkey, case when n_nationkey < 5 then n_name else coalesce(r_name || ': ', '') || cast(n_nationkey as varchar) end as label from nation left join (select * from region where r_regionkey <> 2) on n_regionkey = r_regionkey")
+@_query("select c_custkey, case when n_nationkey < 5 then n_name else coalesce(r_name || ': ', '') || cast(n_nationkey as varchar) end as label from customer join nation on c_nationkey = n_nationkey left join (select * from region where r_regionkey <> 2) on n_regionkey = r_regionkey")
 def parent_fallback(t):
     own = lookups.as_map(t.nation.where("n_nationkey < 5").withColumn("k", F.col("n_nationkey").cast("string")), "k", "n_name")
     up = lookups.as_map(t.region.where("r_regionkey <> 2").withColumn("k", F.concat(F.lit("r"), "r_regionkey")), "k", "r_name")
-    d = t.nation.withColumn("k", F.col("n_nationkey").cast("string"))
-    return lookups.with_parent(d, "k", F.concat(F.lit("r"), "n_regionkey"), own.unionByName(up), "label").select("n_nationkey", "label")
+    d = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey", F.col("n_nationkey").cast("string").alias("k"))
+    return lookups.with_parent(d, "k", F.concat(F.lit("r"), "n_regionkey"), own.unionByName(up), "label").select("c_custkey", "label")
 
 
 # --- whole-catalogue jobs ----------------------------------------------------------------------------
 
 
-@_query("select o_custkey as id, count(*) as uses from (select o_custkey from orders where o_orderkey % 2 = 0 union all select o_custkey from orders where o_orderkey % 3 = 0) group by 1")
+@_query("select o_custkey as id, count(*) as uses from (select o_custkey from orders union all select o_custkey from orders where o_orderdate >= timestamp '1998-01-01') group by 1")
 def beacon_counts(t):
-    return jobs.usage_counts([t.orders.where("o_orderkey % 2 = 0"), t.orders.where("o_orderkey % 3 = 0")], "o_custkey")
+    # the full dump, and what was updated since
+    return jobs.usage_counts([t.orders, t.orders.where("o_orderdate >= timestamp '1998-01-01'")], "o_custkey")
 
 
 @_query("""
-    with y as (select year(l_shipdate) as year, count(*) as docs from lineitem where l_shipdate is not null and year(l_shipdate) % 2 = 0 and year(l_shipdate) between 1 and 2000 group by 1)
+    with y as (select year(l_shipdate) as year, count(*) as docs from lineitem where l_shipdate is not null and year(l_shipdate) between 1 and 2000 group by 1)
     select s.year, coalesce(docs, 0) as docs from (select cast(unnest(range((select min(year) from y), (select max(year) from y) + 1)) as int) as year) s left join y on s.year = y.year
 """)
 def year_histogram(t):
-    return jobs.year_histogram(t.lineitem.where(F.year("l_shipdate") % 2 == 0), F.year("l_shipdate"), THIS_YEAR)
+    return jobs.year_histogram(t.lineitem, F.year("l_shipdate"), THIS_YEAR)
 
 
 @_query("select o_orderkey, s_nationkey, count(*) as items from orders join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey group by 1, 2")
@@ -615,11 +615,11 @@ def sanity_checks(t):
     return jobs.sanity_checks(t.orders, {"docs": (_count(), 100), "urgent": (F.count_if(F.col("o_orderpriority") == "1-URGENT"), 1e9)})
 
 
-@_query("select count(*) as records, count(*) >= 20 as enough, count_if(n_name = 'NATION_7') = 1 as sentinel from nation")
+@_query("select count(*) as records, count(*) >= 20 as enough, count_if(c_custkey = 7) = 1 as sentinel from customer")
 def guard_counts(t):
     from folio.sources.readers import guarded
 
-    return guarded(t.nation, least=20, sentinel=F.col("n_name") == "NATION_7")
+    return guarded(t.customer, least=20, sentinel=F.col("c_custkey") == 7)
 
 
 @_query("""

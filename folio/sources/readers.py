@@ -76,7 +76,9 @@ def read_lookup_tsv(spark: SparkSession, path: str, key: int, value: int, header
     n = max(key, value) + 1
     schema = ", ".join(f"c{i} string" for i in range(n))
     df = spark.read.option("sep", "\t").option("quote", "").option("header", header).option("enforceSchema", True).schema(schema).csv(path)
-    d = df.select(F.trim(f"c{key}").alias("key"), F.trim(f"c{value}").alias("value"), F.monotonically_increasing_id().alias("line"))
+    # Spark deals splits out by size: a line's place is its file, the split's start there, and its place in the split
+    line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    d = df.select(F.trim(f"c{key}").alias("key"), F.trim(f"c{value}").alias("value"), line.alias("line"))
     return d.where("key <> '' and value is not null").groupBy("key").agg(F.max_by("value", "line").alias("value"))
 
 

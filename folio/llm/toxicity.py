@@ -72,6 +72,13 @@ def _slot(feature: bytes) -> int:
     return zlib.crc32(feature) >> (32 - BITS)
 
 
+def _parts(batches, rows: int = 512):
+    """Batches of fewer rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
@@ -93,24 +100,37 @@ def mine(rows: DataFrame, odds: float = 12.0, share: float = 0.02, sure: float =
     others, and still ``sure`` times when the log odds are taken so many standard ``errors`` lower. They are in
     at least ``share`` of the toxic rows: what few hold may be the words of a group of near copies.
 
-    Counted in the tasks, summed by feature; at most ``ENTRIES`` come back.
+    Toxic rows are counted by slot first, so that the tasks hold and sum those features only whose slot is in
+    enough of them; at most ``ENTRIES`` come back.
     """
+    n = rows.agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0")).first()
+    if not n.n1:
+        return []
+    least = max(4, share * n.n1)
+
+    def toxic(batches):
+        total = np.zeros(1 << BITS, np.int64)
+        for b in _parts(batches):
+            for text in b.column("text").to_pylist():
+                total[_slots(text, {})] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+
+    slots = rows.where("label = 1").select("text").mapInArrow(toxic, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    held = rows.sparkSession.sparkContext.broadcast(frozenset(r.slot for r in slots.where(F.col("n") >= least).collect()))  # at most 2**BITS
 
     def run(batches):
-        count = (Counter(), Counter())
-        for b in batches:
+        count: dict[bytes, list[int]] = {}
+        for b in _parts(batches):
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                count[label].update({f for w in _words(text) for f in _features(w)})
-        every = list(count[0] | count[1])
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *(pa.array([count[k][f] for f in every], pa.int64()) for k in (1, 0))], ["feature", "n1", "n0"])
+                for f in {f for w in _words(text) for f in _features(w) if _slot(f) in held.value}:
+                    count.setdefault(f, [0, 0])[label] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), *(pa.array([x[k] for x in count.values()], pa.int64()) for k in (1, 0))], ["feature", "n1", "n0"])
 
-    n = rows.agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0")).first()
-    if not n.n1:
-        return []
     g = rows.select("text", "label").mapInArrow(run, "feature binary, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     log = F.log(((F.col("n1") + 0.5) / (n.n1 + 1)) / ((F.col("n0") + 0.5) / (n.n0 + 1)))
     low = log - errors * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    g = g.where((F.col("n1") >= max(4, share * n.n1)) & (log >= math.log(odds)) & (low >= math.log(sure))).orderBy(F.col("n1").desc(), "feature").limit(ENTRIES)
+    g = g.where((F.col("n1") >= least) & (log >= math.log(odds)) & (low >= math.log(sure))).orderBy(F.col("n1").desc(), "feature").limit(ENTRIES)
     chosen = [bytes(r.feature) for r in g.collect()]
     # a beginning says what the words below it say: the shortest is kept
     short = {f[:-1] for f in chosen if f.endswith(b"*")}
@@ -140,7 +160,7 @@ class Voters:
         out = 0
         for w in _words(text):
             if (b := self.kept.get(w)) is None:
-                if len(self.kept) > 200_000:
+                if len(self.kept) > 100_000:
                     self.kept.clear()
                 b = self.kept[w] = self._word(w)
             out |= b
@@ -282,12 +302,12 @@ def toxicity(
 
     def run(batches):
         v = Voters(shared.value)
-        total = Counter(v.vote(t) for b in batches for t in b.column("text").to_pylist())
+        total = Counter(v.vote(t) for b in _parts(batches) for t in b.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["votes", "n"])
 
     def describe(batches):
         v, kept = Voters(shared.value), {}
-        for b in batches:
+        for b in _parts(batches):
             t = b.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("label"), b.column("part"), pa.array([v.vote(x) for x in t], pa.int64()), pa.array([_slots(x, kept) for x in t], pa.list_(pa.int32()))], ["_id", "label", "part", "votes", "slots"])
 
@@ -328,13 +348,14 @@ def toxicity(
         # slots with weight only: most words have none
         alive = set(np.flatnonzero(w[:-1]).tolist())
         kept: dict[bytes, tuple[int, ...]] = {}
-        for b in batches:
+        for b in _parts(batches):
             out = []
-            for t in b.column("text").to_pylist():
+            texts = b.column("kept").field(text_col) if keep else b.column("text")
+            for t in texts.to_pylist():
                 row: set[int] = set()
                 for x in _words(t):
                     if (f := kept.get(x)) is None:
-                        if len(kept) > 300_000:
+                        if len(kept) > 100_000:
                             kept.clear()
                         f = kept[x] = tuple(s for s in map(_slot, _features(x)) if s in alive)
                     if f:
@@ -343,7 +364,7 @@ def toxicity(
             yield pa.RecordBatch.from_arrays([b.column("kept"), pa.array(out, pa.float64())], ["kept", "score"])
 
     if keep:
-        d = docs.select(F.struct(*keep).alias("kept"), docs[text_col].alias("text"))
+        d = docs.select(F.struct(*dict.fromkeys((*keep, text_col))).alias("kept"))
     else:
         row = [docs[row_col].alias("_row")] if row_col else []
         d = docs.select(*row, docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
@@ -351,4 +372,4 @@ def toxicity(
         d = d.select(F.struct("_row", "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")).alias("kept"), "text")
     scored = d.mapInArrow(rate, f"kept {d.schema['kept'].dataType.simpleString()}, score double")
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
-    return scored.select("kept.*", predicted) if keep else scored.select("kept.*", "score", predicted)
+    return scored.select(*(f"kept.{c}" for c in keep), predicted) if keep else scored.select("kept.*", "score", predicted)

@@ -1,47 +1,51 @@
 """Position-independent hashes of byte windows, for whole buffers at once.
 
-``Windows(buf).of(starts, ends)`` is a polynomial hash modulo 2**64 of each window, with random byte
-values, finished by an avalanche. Prefix sums make every window two reads, whatever its length.
+``Windows(buf).of(starts, ends)`` names each window by two polynomial hashes modulo the prime 2**31 - 1, with
+random byte values and two bases, finished by an avalanche. Prefix sums make every window two reads a
+base, whatever its length. A prime modulus keeps strings of two letters that are built against powers
+of two (Thue-Morse strings) apart: unequal windows of n bytes agree with probability (n / 2**31)**2 at most.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+_P = np.uint64(2**31 - 1)
+_BITS = np.uint64(31)
+_BASES = (1366128661, 1847906173)
 #: Fixed values of the bytes, so that all tasks agree.
-_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOW = 1 << 12
+_VALUES = np.random.default_rng(20240607).integers(1, 2**31 - 1, 256, dtype=np.uint64)
+#: Positions handled at a time, so that they stay in the processor's cache.
+_BLOCK = 1 << 14
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
+def _mod(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, for values below 2**62; works in the array it is given."""
+    high = x >> _BITS
+    x &= _P
+    x += high
+    np.right_shift(x, _BITS, out=high)
+    x &= _P
+    x += high
+    x[x == _P] = 0
+    return x
 
 
-class _Power:
-    """base**k for arrays of k, from two short tables."""
+class _Powers:
+    """base**k modulo the prime, grown by doubling and kept."""
 
     def __init__(self, base: int):
-        self.base, self.low, self.high = base, _powers(base, _LOW), _powers(pow(base, _LOW, 2**64), 1 << 10)
-
-    def __call__(self, k: np.ndarray) -> np.ndarray:
-        hi = k >> 12
-        if len(k) and (most := int(hi.max())) >= len(self.high):
-            self.high = _powers(pow(self.base, _LOW, 2**64), most * 2)
-        return self.low[k & (_LOW - 1)] * self.high[hi]
+        self.base, self.table = base, np.ones(1, np.uint32)
 
     def upto(self, n: int) -> np.ndarray:
-        rows = -(-n // _LOW)
-        if rows >= len(self.high):
-            self.high = _powers(pow(self.base, _LOW, 2**64), rows * 2)
-        return (self.high[:rows, None] * self.low[None, :]).ravel()[:n]
+        while len(self.table) < n:
+            step = np.uint64(pow(self.base, len(self.table), int(_P)))
+            self.table = np.concatenate((self.table, _mod(self.table * step).astype(np.uint32)))
+        return self.table[:n]
 
 
-_up, _down = _Power(_BASE), _Power(_INVERSE)
+_up = [_Powers(b) for b in _BASES]
+_down = [_Powers(pow(b, -1, int(_P))) for b in _BASES]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,14 +59,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Windows:
     def __init__(self, buf: np.ndarray):
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        if len(buf):
-            np.cumsum(_VALUES[buf] * _down.upto(len(buf)), out=self.sums[1:])
+        n = len(buf)
+        self.sums = [np.zeros(n + 1, np.uint32) for _ in _BASES]
+        self.up = [up.upto(n + 1) for up in _up]
+        for sums, down in zip(self.sums, (d.upto(n) for d in _down), strict=True):
+            before = np.uint64(0)
+            for a in range(0, n, _BLOCK):
+                x = _mod(_VALUES[buf[a : a + _BLOCK]] * down[a : a + _BLOCK])
+                x[0] += before
+                x = _mod(np.cumsum(x, out=x))
+                before = x[-1]
+                sums[a + 1 : a + 1 + len(x)] = x
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of ``[start, end)``; empty windows are equal to each other only."""
-        h = (self.sums[ends] - self.sums[starts]) * _up(starts)
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out = np.empty(len(starts), np.uint64)
+        for a in range(0, len(starts), _BLOCK):
+            s, e = starts[a : a + _BLOCK], ends[a : a + _BLOCK]
+            h = np.zeros(len(s), np.uint64)
+            for sums, up in zip(self.sums, self.up, strict=True):
+                x = sums[e].astype(np.uint64)
+                x += _P - sums[s]
+                h <<= _BITS
+                # below 2**32 times below 2**31
+                x = _mod(x)
+                x *= up[s]
+                h |= _mod(x)
+            out[a : a + _BLOCK] = mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return out
 
 
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,8 @@ into the sample, so two equal strings of ``length`` bytes share sampled windows
 Buckets answer a chunk with one bit for each name in the order asked, so no positions travel. A chunk asks for each name
 once, with a mark if it holds it twice: a passage in a third of all documents is one name in each
 chunk. Memory is bounded by a chunk and a bucket, whatever the corpus; the number of buckets follows it.
-Names are 64-bit hashes, so a tie of unequal strings has probability 2**-64 for each pair compared.
+Names are pairs of hashes modulo a prime: unequal strings of n bytes share one with probability (n / 2**31)**2 at
+most, built ones (periodic, Thue-Morse) included.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; repeated rows are
 documents of their own and cover each other; an empty table gives an empty result; other columns are

@@ -134,3 +134,18 @@ def test_repeats_of_odd_tables(spark):
     assert remove_repeats(table(spark, [])).count() == 0
     got = remove_repeats(table(spark, [(1, None), (None, "x" * 399), (2, "y" * 401)])).collect()
     assert sorted((r.n_bytes, r.n_removed) for r in got) == [(0, 0), (399, 0), (401, 401)]
+
+
+@pytest.mark.parametrize("length", [60, 400, 2000])
+def test_repeats_of_built_strings(spark, length):
+    """Thue-Morse strings agree under hashes modulo powers of two; periodic ones repeat at every shift."""
+    morse = "".join("ab"[k.bit_count() % 2] for k in range(6000))
+    rows = [(1, morse), (2, "xyz" * 900), (3, "q" + "xyz" * 40), (4, "ab" * 150), (5, morse[::-1][:500])]
+    count = Counter(t[k : k + length] for _, t in rows for k in range(len(t) - length + 1))
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in remove_repeats(table(spark, rows), length).collect()}
+    for i, t in rows:
+        gone = [False] * len(t)
+        for k in range(len(t) - length + 1):
+            if count[t[k : k + length]] > 1:
+                gone[k : k + length] = [True] * length
+        assert got[i] == (sum(gone), sum(g and not p for g, p in zip(gone, [False, *gone])))

@@ -69,7 +69,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         first, k = TaskContext.get().partitionId() << 32, 0
         ids, texts, size = [], [], 0
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=9).compress
 
         def made():
             return pa.RecordBatch.from_arrays(
@@ -128,12 +128,13 @@ class _Chunk:
 
 
 def _squeezed(sorted_names: np.ndarray) -> bytes:
-    """Differences by byte planes: the upper planes are zeros, which the shuffle's compression takes away."""
-    return np.diff(sorted_names, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Differences by byte planes, compressed: the upper planes are zeros, the next one is far from even."""
+    planes = np.diff(sorted_names, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unsqueezed(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 

@@ -215,6 +215,36 @@ def publication(this_year: int) -> Column:
     return F.when(F.size(events) > 0, events).when(year.rlike(r"^\d{4}$"), F.array(bare))
 
 
+def manufacture(this_year: int) -> Column:
+    """Current, intervening and unmarked statements of manufacture; null without one."""
+    found = F.concat(M.fields("26433"), M.fields("26423"), M.fields("264 3"))
+    events = F.transform(found, lambda f: _event(f, this_year))
+    made = lambda e: F.struct(F.array(F.lit("Event")).alias("type"), e["location"].alias("location"), e["publishedBy"].alias("manufacturedBy"), e["dateStatement"].alias("dateStatement"), e["startDate"].alias("startDate"), e["endDate"].alias("endDate"))
+    return _some(F.transform(events, made))
+
+
+def secondary_publications(this_year: int) -> Column:
+    """Reproductions of 533. A field with several publishers is several events: its places and publishers go in pairs."""
+
+    def events(f: Column) -> Column:
+        dates = F.transform(M.sub(f, "d"), _clean_date)
+        year = lambda pattern: C.first(F.filter(F.transform(dates, lambda d: C.present(F.regexp_extract(d, pattern, 1))), lambda y: y.isNotNull()))
+        start = C.year_or_guess(year(r"^[^-]*?([01]\d{3}|20\d{2})"), C.fixed(M.control("008"), 7, 4), this_year)
+        end = F.when(is_continuing(), year(r"-.*([01]\d{3}|20\d{2}).*$"))
+
+        def event(places: Column, publishers: Column) -> Column:
+            return F.struct(
+                F.array(F.lit("SecondaryPublicationEvent")).alias("type"), C.compacted(places).alias("location"), C.compacted(M.sub(f, "a")).alias("description"),
+                C.compacted(publishers).alias("publishedBy"), start.alias("startDate"), end.alias("endDate"),
+            )
+
+        pairs = F.arrays_zip(M.sub(f, "b").alias("b"), M.sub(f, "c").alias("c"))
+        several = F.transform(pairs, lambda p: event(F.array(p["b"]), F.array(p["c"])))
+        return F.when(F.size(M.sub(f, "c")) > 1, several).otherwise(F.array(event(M.sub(f, "b"), M.sub(f, "c"))))
+
+    return _some(F.flatten(F.transform(M.fields("533  "), events)))
+
+
 def described_by() -> Column:
     """Dates of the description, with impossible days repaired."""
     created = F.coalesce(C.date_from_six(C.fixed(M.control("008"), 0, 6)), F.substring(M.value("MNG??", "b"), 1, 10))
@@ -290,11 +320,14 @@ def notes() -> dict[str, Column]:
 
 # --- agents and subjects -----------------------------------------------------------------------------
 
-#: Words of a role statement and relator codes, in the order of the test.
+#: Words of a role statement, in the order of the test, and relator codes.
 ROLE_WORDS = (
-    ("dars", "act"), ("nach", "aft"), ("vorl", "ant"), ("artist|künstler", "art"), ("vorw", "aui"), ("drehb", "aus"), ("author|verfasser", "aut"), ("bühnenbild|buehnenbild", "std"),
+    ("dars", "act"), ("nach", "aft"), ("vorl", "ant"), ("artist|künstler", "art"), ("vorw", "aui"), ("drehb", "aus"), ("author|verfasser", "aut"), ("b(ü|ue)hnenbild", "std"),
     ("choreogr", "chr"), ("mitarb|beitr|komm\\.", "ctb"), ("komp", "cmp"), ("dir|chorleit", "cnd"), ("sammler", "col"), ("kartogra", "ctg"), ("tänzer", "dnc"),
-    ("hrsg|herausgeb|edit", "edt"), ("illustr", "ill"), ("übers|uebers|transl", "trl"), ("foto|photo", "pht"), ("regis", "drt"), ("produ", "pro"),
+    ("herausgebendes organ", "isb"), ("hrsg|editor|herausg|^ed\\.$", "edt"), ("stecher", "egr"), ("widmungsempfänger", "hnr"), ("ill|zeichn", "ill"), ("interviewter", "ive"), ("interviewer", "ivr"),
+    ("instr|cembalo|fagott|flöte|gitarre|guitar|harfe|harp|horn|klarinette|clarinet|klavier|piano|kontrabass|laute|oboe|org|posaune|saxophon|schlagzeug|drums|tromp|violoncello|violine", "itr"),
+    ("libr", "lbt"), ("ltg", "ltg"), ("moderation|moderat", "mod"), ("musi", "mus"), ("begr", "org"), ("otogr", "pht"), ("interpr", "prf"), ("prod", "pro"), ("adressat", "rcp"),
+    ("gesang|alt|bariton|bass|baß|counterten|mezzosopr|sopr|ten|singer", "sng"), ("sprecher", "spk"), ("bers|transla", "trl"),
 )
 _EDITED = ("Periodical", "Collection", "Series", "Newspaper", "Journal", "Proceedings", "Festschrift")
 _WRITTEN = ("Book", "MultiVolumeBook", "Article", "Thesis", "Biography")
@@ -388,6 +421,12 @@ def subject_chains() -> Column:
     return F.filter(chains, lambda c: F.size(c["componentList"]) > 0)
 
 
+def subject_labels(subjects_: Column, chains: Column) -> Column:
+    """The labels of all concepts without a notation, then those of the chains' components, once each."""
+    own = F.transform(F.filter(subjects_, lambda c: c["notation"].isNull()), lambda c: c["label"])
+    return C.compacted(C.uniq(F.concat(own, F.flatten(F.transform(chains, lambda c: c["componentList"])))))
+
+
 # --- items -------------------------------------------------------------------------------------------
 
 
@@ -468,11 +507,12 @@ def documents(records: DataFrame, this_year: int, scripts: dict[str, str] | None
     d = d.withColumns({
         "id": F.concat(F.lit(base + "resources/"), "record_id", F.lit("#!")), "localId": local_id(), "zdbId": zdb_id(), "urn": urn(), "doi": doi(), "isbn": isbn(), "issn": issn(), "ismn": ismn(), "oclcNumber": oclc(), **agency_ids(),
     })
-    d = d.withColumns({"title": title(), **other_titles(), "alternateGraphicRepresentation": _some(linked_titles(scripts or {"Arab": "Arabic", "Cyrl": "Cyrillic", "Hebr": "Hebrew"})), "publication": publication(this_year), "describedBy": described_by()})
+    d = d.withColumns({"title": title(), **other_titles(), "alternateGraphicRepresentation": _some(linked_titles(scripts or {"Arab": "Arabic", "Cyrl": "Cyrillic", "Hebr": "Hebrew"})), "publication": publication(this_year), "manufacture": manufacture(this_year), "secondaryPublication": secondary_publications(this_year), "describedBy": described_by()})
     d = d.withColumns({"medium": medium(), "language": language_codes(), "extent": extent(), **notes()})
     d = d.withColumns({"subject": subjects(), "subjectChain": subject_chains(), "contribution": contributions(F.col("type"))})
     d = d.withColumns({"hasItem": items(), **{n: relation(p) for n, p in RELATIONS.items()}})
     d = d.withColumn("holders", holder_count(F.col("hasItem")))
+    d = d.withColumn("subjectLabels", subject_labels(F.col("subject"), F.col("subjectChain")))
     year = C.first(F.col("publication"))["startDate"]
     d = d.withColumn("lastCopy", last_copy(F.col("inNetwork"), F.col("holders"), year, F.col("type"), F.col("level.label"), this_year))
     return d.drop("leader", "control", "data")

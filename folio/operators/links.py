@@ -160,3 +160,29 @@ def with_provenance(docs: DataFrame, code: str, own: DataFrame, old_codes: DataF
     d = d.withColumn("_isil", F.coalesce(fixed, "_own", C.prefixed(F.col("_old"), "DE-"), F.when(x.rlike("^[A-Z]{2}-"), x).otherwise(C.prefixed(x, "DE-"))))
     d = lookups.with_parent(d, "_isil", F.regexp_replace("_isil", "^([A-Z]+-[^-]+)-.*$", "$1"), labels, "_label")
     return d.withColumn(out, F.struct(F.col("_isil").alias("isil"), F.col("_label").alias("label"))).drop("_own", "_old", "_isil", "_label")
+
+
+def fallback_label(entries: Column, inner: str, label: str) -> Column:
+    """Entries without a label whose IRI is one of our own get a general one."""
+    named = lambda e: F.coalesce(e["label"], F.when(e["id"].contains(inner), F.lit(label)))
+    return F.transform(entries, lambda e: _labelled(e["id"], named(e)))
+
+
+def with_external_items(docs: DataFrame, key: str, table: DataFrame, item_schema: str, out: str) -> DataFrame:
+    """Holdings that others report, a JSON list for each record id (key, value), whose quotes may be doubled."""
+    t = table.select(F.col("key").alias(key), F.from_json(F.replace("value", F.lit('""'), F.lit('"')), f"array<{item_schema}>").alias("_more"))
+    d = docs.join(t, key, "left")
+    return d.withColumn(out, F.coalesce(F.concat(F.coalesce(out, F.array().cast(d.schema[out].dataType)), "_more"), out)).drop("_more")
+
+
+def with_catalogue_link(items: DataFrame, holder: str, parent: str, templates: Sequence[tuple[DataFrame, str, str]], out: str) -> DataFrame:
+    """A link into the holder's catalogue, else into its parent's. ``templates``: tables (key, value) of link forms, the
+    mark in them, and the column of the number to put there; the first that has both gives the link."""
+    tries = []
+    d = items
+    for owner in (holder, parent):
+        for i, (table, mark, number) in enumerate(templates):
+            name = f"_{owner}{i}"
+            d = lookups.lookup(d, owner, table, name)
+            tries.append(F.replace(F.col(name), F.lit(mark), F.col(number)))
+    return d.withColumn(out, F.coalesce(*tries)).drop(*(f"_{o}{i}" for o in (holder, parent) for i in range(len(templates))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folio.operators import graph, jobs, lookups, ranking, search
 from folio.plans import catalogue
+from folio.plans import records
 from folio.sources import writers
 from folio.streaming import updates
 
@@ -22,13 +23,17 @@ def rows(df):
     return sorted(map(str, d.itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", QUICK)
+SOURCES = {"catalogue": catalogue, "records": records}
+
+
+@pytest.mark.parametrize("name", [("catalogue", n) for n in QUICK] + [("records", n) for n in records.queries()], ids=lambda x: x[1])
 def test_against_sql(spark, name):
+    source, name = SOURCES[name[0]], name[1]
     con = duckdb.connect()
     for f in os.listdir(DATA):
         con.execute(f"create view {f[:-8]} as select * from '{DATA}/{f}'")
-    want = con.execute(catalogue.oracle_sql()[name]).df()
-    got = catalogue.queries()[name](spark, DATA).toPandas()
+    want = con.execute(source.oracle_sql()[name]).df()
+    got = source.queries()[name](spark, DATA).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 

@@ -112,7 +112,8 @@ class _Chunk:
         del local
 
     def cover_names(self) -> np.ndarray:
-        return self.windows.of(self.sampled, self.sampled + self.depth)
+        """52 bits are enough: a false tie of the sample makes another candidate, and loses none."""
+        return self.windows.of(self.sampled, self.sampled + self.depth) & ~np.uint64(0xFFF)
 
     def candidates(self, tied: np.ndarray) -> np.ndarray:
         """Starts of suffixes with a tied sampled window in their first ``length`` bytes."""

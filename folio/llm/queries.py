@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folio import ship
 
+from .divergence import divergence
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .mixing import mix
@@ -71,6 +72,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -83,4 +88,29 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
             from d
         """,
+        "op11_source_divergence": """
+            with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms from documents),
+            groups as (select distinct lang, source from d),
+            occ as (select lang, source, r, unnest(terms) as term from d),
+            kept as (select lang, term from occ group by lang, term having count(distinct r) >= 3),
+            counts as (select lang, source, term, count(*)::hugeint as n from occ semi join kept using (lang, term) group by all),
+            sizes as (select lang, count(*)::hugeint as v from kept group by lang),
+            cells as (select g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint as n
+                      from groups g join kept k using (lang) left join counts c using (lang, source, term)),
+            p as (select *, 1 + (1000000000 * (n + 1)) // (sum(n) over (partition by lang, source) + v) as p
+                  from cells join sizes using (lang)),
+            q as (select lang, term, 1 + (1000000000 * (n + 1)) // (sum(n) over (partition by lang) + v) as q
+                  from (select lang, term, sum(n)::hugeint as n from cells group by all) join sizes using (lang)),
+            pairs as (select lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+                      from p a join p b using (lang, term) where a.source <> b.source group by all),
+            every as (select g.lang, g.source, 'pair' as part, h.source as item, coalesce(value, 0)::bigint as value
+                      from groups g join groups h on g.lang = h.lang and g.source <> h.source
+                      left join pairs on pairs.lang = g.lang and pairs.source = g.source and pairs.item = h.source
+                      union all
+                      select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p join q using (lang, term) where n > 0 and p > q)
+            select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+            from every qualify part = 'pair' or rank <= 200
+        """,
     }

@@ -17,6 +17,7 @@ from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack
 from .quality_rules import quality
+from .resampling import resample
 from .secret_scan import scan
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
@@ -76,6 +77,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -113,4 +119,28 @@ def oracle_sql() -> dict[str, str]:
             select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
             from every qualify part = 'pair' or rank <= 200
         """,
+        "op13_importance_resampling": """
+            with bytes as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                                                   lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as crc
+                           from (select unnest(range(256)) as i)),
+            texts as (select 0 as kind, doc_id as id, text from documents union all select 1, item_id, text from benchmark),
+            words as (select kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from texts),
+            found as (select kind, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                                                || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as f from words),
+            counted as (select kind, id, f, count(*) as n from found group by all),
+            hashed as (select f, xor(list_reduce([4294967295] || list_transform(range(0, len(hex(encode(f))), 2), lambda i: ('0x' || hex(encode(f))[i + 1 : i + 2])::bigint),
+                                                 lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket
+                       from (select distinct f from counted), bytes),
+            held as (select kind, id, bucket, sum(n)::double as n from counted join hashed using (f) group by all),
+            sums as (select coalesce(sum(n) filter (kind = 0), 0) as s, coalesce(sum(n) filter (kind = 1), 0) as t from held),
+            gains as (select bucket, floor(1000 * ln((coalesce(sum(n) filter (kind = 1), 0) + 1) * (any_value(s) + 10000)
+                                                     / ((coalesce(sum(n) filter (kind = 0), 0) + 1) * (any_value(t) + 10000)))) as gain from held, sums group by bucket),
+            weighed as (select id, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from held join gains using (bucket) where kind = 0 group by id),
+            scored as (select id as doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+                              coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || id), 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+                       from words left join weighed using (id) where kind = 0),
+            ranked as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as able from scored where n_words >= 20)
+            select doc_id, n_features, weight, score, case when rank <= 5 * able // 100 then rank end as rank from scored left join ranked using (doc_id)
+        """,
     }

@@ -15,6 +15,7 @@ from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .mixing import mix
 from .near_dedup import near_dedup
+from .ngram_join import ngram_join
 from .packing import pack
 from .quality_rules import quality
 from .resampling import resample
@@ -77,6 +78,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join(_table(spark, sf_dir, "documents"), k=4, similarity=(85, 100))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")

@@ -2,9 +2,145 @@
 
 from __future__ import annotations
 
+import json
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from folio.functions import columns as C
+
+RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+XSD = "http://www.w3.org/2001/XMLSchema#"
+_STATEMENT = "array<struct<s:string,p:string,o:string,kind:string,datatype:string>>"
+
+
+class Term(NamedTuple):
+    """What a context says of a property: its IRI, ``@list`` or ``@set``, and ``@id`` or a datatype."""
+
+    iri: str
+    container: str | None = None
+    kind: str | None = None
+
+
+def read_context(spark: SparkSession, path: str) -> dict[str, Term]:
+    """The terms of a JSON-LD context file; keywords' aliases (``id``, ``type``) are terms of their own."""
+    text = spark.read.text(path, wholetext=True).first().value
+    found = {}
+    for name, said in json.loads(text)["@context"].items():
+        said = {"@id": said} if isinstance(said, str) else said or {}
+        if "@id" in said:
+            found[name] = Term(said["@id"], said.get("@container"), said.get("@type"))
+    return found
+
+
+def blank(place: Column) -> Column:
+    """The node of a place in a document: the same whenever the document is read again."""
+    return F.concat(F.lit("_:b"), F.md5(place))
+
+
+def _statement(s: Column, p: str, o: Column, kind: Column | str, datatype: Column | str | None = None) -> Column:
+    text = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x
+    return F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), text(kind).alias("kind"), text(datatype).alias("datatype"))
+
+
+def _datatype(kind: T.DataType) -> str | None:
+    if isinstance(kind, T.BooleanType):
+        return XSD + "boolean"
+    if isinstance(kind, T.IntegralType):
+        return XSD + "integer"
+    return XSD + "double" if isinstance(kind, T.NumericType) else None
+
+
+class _Walk:
+    def __init__(self, context: dict[str, Term], id_field: str, type_field: str):
+        self.context, self.id_field, self.type_field = context, id_field, type_field
+        names = [x for n, t in context.items() for x in (F.lit(n), F.lit(t.iri))]
+        self.types = F.create_map(*names) if names else None
+
+    def node(self, x: Column | None, kind: T.StructType, subject: Column, place: Column) -> Column:
+        """The statements of a node's fields, and of all that hangs on them."""
+        parts = [F.array().cast(_STATEMENT)]
+        for f in kind.fields:
+            value = F.col(f"`{f.name}`") if x is None else x[f.name]
+            here = F.concat(place, F.lit("/" + f.name))
+            if f.name == self.type_field:
+                parts.append(self.many(value, f.dataType, Term(RDF + "type", None, "@type"), subject, here))
+            elif f.name != self.id_field and f.name in self.context:
+                term = self.context[f.name]
+                parts.append((self.ordered if term.container == "@list" else self.many)(value, f.dataType, term, subject, here))
+        return F.concat(*parts)
+
+    def many(self, v: Column, kind: T.DataType, term: Term, subject: Column, place: Column) -> Column:
+        if isinstance(kind, T.ArrayType):
+            inner = F.transform(v, lambda e, i: self.many(e, kind.elementType, term, subject, F.concat_ws("/", place, i.cast("string"))))
+            return F.coalesce(F.flatten(inner), F.array().cast(_STATEMENT))
+        return self.one(v, kind, term.iri, term, subject, place)
+
+    def one(self, v: Column, kind: T.DataType, predicate: str, term: Term, subject: Column, place: Column) -> Column:
+        """A statement with one value as its object, and what the value itself says if it is a node."""
+        none = F.array().cast(_STATEMENT)
+        if isinstance(kind, T.StructType):
+            own = v[self.id_field].cast("string") if self.id_field in kind.names else F.lit(None).cast("string")
+            named = F.when(own.isNotNull(), "iri").otherwise("blank")
+
+            def of(sid: Column) -> Column:
+                return F.concat(F.array(_statement(subject, predicate, sid, named)), self.node(v, kind, sid, place))
+
+            return F.when(v.isNotNull(), C.let(F.coalesce(own, blank(place)), of)).otherwise(none)
+        text = v.cast("string")
+        if term.kind == "@type":
+            iri = F.coalesce(F.try_element_at(self.types, text) if self.types is not None else F.lit(None), F.when(text.rlike(r"^[A-Za-z][\w+.-]*:"), text))
+            return F.when(iri.isNotNull(), F.array(_statement(subject, predicate, iri, "iri"))).otherwise(none)
+        if term.kind == "@id":
+            return F.when(v.isNotNull(), F.array(_statement(subject, predicate, text, F.when(text.startswith("_:"), "blank").otherwise("iri")))).otherwise(none)
+        return F.when(v.isNotNull(), F.array(_statement(subject, predicate, text, "literal", term.kind or _datatype(kind)))).otherwise(none)
+
+    def ordered(self, v: Column, kind: T.DataType, term: Term, subject: Column, place: Column) -> Column:
+        """A list: a chain of nodes with ``first`` and ``rest``, ended by ``nil``; without values ``nil`` itself."""
+        none = F.array().cast(_STATEMENT)
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
+        held = F.array_compact(v if isinstance(kind, T.ArrayType) else F.array(v))
+        cell = lambda i: blank(F.concat_ws("/", place, F.lit("cell"), i.cast("string")))
+        nil = F.lit(RDF + "nil")
+
+        def of(a: Column) -> Column:
+            n = F.size(a)
+            head = _statement(subject, term.iri, F.when(n > 0, cell(F.lit(0))).otherwise(nil), F.when(n > 0, "blank").otherwise("iri"))
+
+            def link(e: Column, i: Column) -> Column:
+                last = i == n - 1
+                rest = _statement(cell(i), RDF + "rest", F.when(last, nil).otherwise(cell(i + 1)), F.when(last, "iri").otherwise("blank"))
+                return F.concat(self.one(e, inner, RDF + "first", term, cell(i), F.concat_ws("/", place, i.cast("string"))), F.array(rest))
+
+            return F.concat(F.array(head), F.flatten(F.transform(a, link)))
+
+        return F.when(v.isNotNull(), C.let(held, of)).otherwise(none)
+
+
+def statements(df: DataFrame, context: dict[str, Term], id_field: str = "id", type_field: str = "type") -> DataFrame:
+    """``(s, p, o, kind, datatype)`` of documents of any depth, by a context's terms; one narrow stage.
+
+    A node's subject is its id, else a blank node named by the document's id and the place in it, so a second
+    run names it alike. ``kind`` is ``iri``, ``blank`` or ``literal``. Properties that the context
+    doesn't know are no statements; documents without an id are left out.
+    """
+    walk = _Walk(context, id_field, type_field)
+    root = F.col(id_field).cast("string")
+    every = walk.node(None, df.schema, root, root)
+    return df.where(F.col(id_field).isNotNull()).select(F.inline(every))
+
+
+def statement_lines(t: DataFrame) -> DataFrame:
+    """Statements of ``statements`` as lines of N-Triples."""
+    escaped = C.replace_all(F.col("o"), (r'([\\"])', r"\\$1"), ("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t"))
+    iri = lambda x: F.concat(F.lit("<"), x, F.lit(">"))
+    typed = F.when(F.col("datatype").isNotNull(), F.concat(F.lit("^^"), iri(F.col("datatype")))).otherwise("")
+    literal = F.concat(F.lit('"'), escaped, F.lit('"'), typed)
+    subject = F.when(F.col("s").startswith("_:"), F.col("s")).otherwise(iri(F.col("s")))
+    node = F.when(F.col("kind") == "literal", literal).when(F.col("kind") == "blank", F.col("o")).otherwise(iri(F.col("o")))
+    return t.select(F.concat_ws(" ", subject, iri(F.col("p")), node, F.lit(".")).alias("value"))
 
 
 def triples(df: DataFrame, subject: str, terms: dict[str, str], lists: dict[str, str] | None = None) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import columns as C
+from folio.functions import nested as N
 
 
 def facet(df: DataFrame, terms: Column, top: int) -> DataFrame:
@@ -115,6 +117,30 @@ def diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFr
     return a.exceptAll(b).withColumn("side", F.lit("old")).unionByName(b.exceptAll(a).withColumn("side", F.lit("new")))
 
 
+def by_paths(df: DataFrame, key: str, ordered: Callable[[tuple[str, ...]], bool], skip: tuple[str, ...] = ("@context",)) -> DataFrame:
+    """``(key, path, pos, value)``: every value of documents of any depth, by its path without array indices.
+
+    ``pos`` is the value's place among those of its path where the path is ordered, else null.
+    """
+    def placed(path: tuple[str, ...]) -> Column:
+        place = (lambda i: i) if ordered(path) else (lambda _: F.lit(None).cast("int"))
+        return F.transform(N.top_values(df.schema, path), lambda v, i: F.struct(F.lit(".".join(path)).alias("path"), place(i).alias("pos"), v.alias("value")))
+
+    parts = [F.array().cast("array<struct<path:string,pos:int,value:string>>"), *(placed(p) for p in N.paths(df.schema, (key, *skip)))]
+    return df.select(F.col(key).alias("key"), F.inline(F.concat(*parts)))
+
+
+def diff_documents(old: DataFrame, new: DataFrame, key: str, ordered: Callable[[tuple[str, ...]], bool] = lambda p: p[-1].endswith("Order"), skip: tuple[str, ...] = ("@context",)) -> DataFrame:
+    """``(key, path, pos, value, side, copies)`` of what only one of two snapshots of nested documents has.
+
+    Values of a path are a bag, of an ordered path a sequence: a list in another order differs on ordered
+    paths only. Both snapshots meet in one exchange, counted before it; the schemas may differ.
+    """
+    sides = (by_paths(d, key, ordered, skip).withColumn("n", F.lit(n)) for d, n in ((old, 1), (new, -1)))
+    both = reduce(DataFrame.unionByName, sides).groupBy("key", "path", "pos", "value").agg(F.sum("n").alias("n"))
+    return both.where("n <> 0").select("key", "path", "pos", "value", F.when(F.col("n") > 0, "old").otherwise("new").alias("side"), F.abs("n").alias("copies"))
+
+
 def label_from_usage(df: DataFrame, iri: str, label: str, order: str) -> DataFrame:
     """The label that the first document carrying an id gives it, else the id."""
     g = df.groupBy(iri).agg(F.min_by(label, F.struct(order, label)).alias("label"))

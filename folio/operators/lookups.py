@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions import nested as N
+
 
 def as_map(df: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
     """``(key, value)`` with one row for each key: of repeated keys the largest by ``order``, then value."""
@@ -49,3 +51,33 @@ def with_parent(df: DataFrame, column: str, parent: Column, table: DataFrame, ou
     df = lookup(lookup(df.withColumn("_parent", parent), column, table, "_own"), "_parent", table, "_of_parent")
     label = F.coalesce("_own", F.concat("_of_parent", F.lit(": "), F.col(column)), F.col(column))
     return df.withColumn(out, label).drop("_parent", "_own", "_of_parent")
+
+
+def label_keys(iri: Column) -> Column:
+    """The keys under which an IRI's label may stand, best first: itself, else its host with the first step of its path."""
+    parts = F.filter(F.split(iri, "/"), lambda x, i: (i < 4) & ((i < 3) | (x != "")))
+    host = F.concat(F.array_join(F.slice(parts, 1, 3), "/"), F.lit("/"))
+    return F.when(F.size(parts) > 2, F.array(iri, F.concat(host, F.coalesce(F.get(parts, F.lit(3)), F.lit(""))))).otherwise(F.array(iri))
+
+
+def last_step(iri: Column) -> Column:
+    return F.substring_index(F.regexp_replace(iri, "/+$", ""), "/", -1)
+
+
+def label_nodes(df: DataFrame, row_key: str, table: DataFrame, root: tuple[str, ...] = ("id",), label: str = "label") -> DataFrame:
+    """Gives every node with an id and without a label, at any depth, its label; the document's own id is left alone.
+
+    The label is that of the id, else that of its host and first step, else the id's last step. The ids of all paths
+    of a document meet the label table in one join and come back as one map, however many paths there are.
+    """
+    fields = [f for f in df.schema.fields if f.name not in root and N.has_nodes(f.dataType)]
+    if not fields:
+        return df
+    ids = F.array_distinct(F.concat(*(N.node_ids(F.col(f"`{f.name}`"), f.dataType, unless=label) for f in fields)))
+    want = df.select(row_key, F.explode(ids).alias("_id")).select(row_key, "_id", F.posexplode(label_keys(F.col("_id"))).alias("_rank", "_key"))
+    known = table.select(F.col("key").alias("_key"), F.col("value").alias("_value")).where("_value <> ''")
+    found = want.join(known, "_key").groupBy(row_key, "_id").agg(F.min_by("_value", "_rank").alias("_value"))
+    maps = found.groupBy(row_key).agg(F.map_from_entries(F.collect_list(F.struct("_id", "_value"))).alias("_labels"))
+    joined = df.join(maps, row_key, "left")
+    of = lambda i: F.coalesce(F.try_element_at("_labels", i), last_step(i))
+    return joined.withColumns({f.name: N.rebuilt(F.col(f"`{f.name}`"), f.dataType, label, of) for f in fields}).drop("_labels")

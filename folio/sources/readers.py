@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import io
-import tarfile
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,23 +47,22 @@ def read_aggregate(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return read_marcxml(spark, paths, prefix="marc:")
 
 
-def read_marcxml_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Records of XML files in tar archives, one task an archive."""
+def read_marcxml_archive(spark: SparkSession, path: str, row_tag: str = "record") -> DataFrame:
+    """Records of the XML files in tar archives, plain, ``.gz`` or ``.bz2``, concatenated gzip blocks included.
 
-    def members(batches):
-        for b in batches:
-            for data in b.column("content").to_pylist():
-                raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bz2.decompress(data) if data[:3] == b"BZh" else data
-                with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
-                    for m in tar:
-                        if m.isfile():
-                            yield pa.RecordBatch.from_arrays([pa.array([tar.extractfile(m).read().decode("utf-8")])], ["value"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    text = files.mapInArrow(members, "value string")
-    records = F.regexp_extract_all(F.regexp_replace("value", r"\s*\n\s*", " "), F.lit(r"(?s)(<record[ >].*?</record>)"), 1)
-    parsed = F.from_xml("value", _RECORD, {"ignoreSurroundingSpaces": "false"})
-    return _reshaped(text.select(F.explode(records).alias("value")).select(parsed.alias("r")).select("r.*"))
+    The archive is read as text that the records' end tags part, so it streams: a task holds a record at a time, whatever
+    the archive's size, and plain and bzip2 archives are split among tasks. What stands between two records (headers of
+    members, padding, prologues) goes. Values stay as they are, line breaks too; white space that breaks lines between
+    elements goes. A gzip archive is read by one task; its records are dealt out before they are parsed.
+    """
+    end = f"</{row_tag}>"
+    chunks = spark.read.text(path, lineSep=end)
+    # of a chunk what follows the last start tag
+    record = F.regexp_extract("value", rf"(?s)^.*(<{row_tag}[\s>].*)$", 1)
+    text = chunks.select(record.alias("value")).where("value <> ''").repartition(2 * spark.sparkContext.defaultParallelism)
+    whole = F.concat(F.regexp_replace("value", r">\s*\n\s*<", "><"), F.lit(end))
+    parsed = F.from_xml(whole, _RECORD, {"ignoreSurroundingSpaces": "false"})
+    return _reshaped(text.select(parsed.alias("r")).select("r.*"))
 
 
 def read_lookup_tsv(spark: SparkSession, path: str, key: int, value: int, header: bool = False) -> DataFrame:

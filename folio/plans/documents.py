@@ -95,13 +95,13 @@ def document_statements(t):
     b as (select key, 'items.quantity' as path, null::int as pos, cast(quantity2 as varchar) as value from changed
           union all select key, 'partOrder', cast(n - 1 - i as int), cast(part_key as varchar) from changed),
     d as (select key, path, pos, value, sum(x) as x from (select *, 1 as x from a union all select *, -1 from b) group by all)
-    select key, path, pos, value, case when x > 0 then 'old' else 'new' end as side, cast(abs(x) as bigint) as copies from d where x <> 0
+    select key, path, cast(pos as varchar) as pos, value, case when x > 0 then 'old' else 'new' end as side, cast(abs(x) as bigint) as copies from d where x <> 0
 """)
 def document_diff(t):
     old = documents(t)
     more = lambda i: i.withField("quantity", i["quantity"] + F.array_contains(i["flags"], "R").cast("int"))
     new = old.withColumns({"items": F.reverse(F.transform("items", more)), "partOrder": F.reverse("partOrder")})
-    return jobs.diff_documents(old, new, "key")
+    return jobs.diff_documents(old, new, "key").withColumn("pos", F.col("pos").cast("string"))
 
 
 SCHEMAS = {

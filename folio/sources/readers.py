@@ -52,8 +52,8 @@ def read_marcxml_archive(spark: SparkSession, path: str, row_tag: str = "record"
 
     The archive is read as text that the records' end tags part, so it streams: a task holds a record at a time, whatever
     the archive's size, and plain and bzip2 archives are split among tasks. What stands between two records (headers of
-    members, padding, prologues) goes. Values stay as they are, line breaks too; white space that breaks lines between
-    elements goes. A gzip archive is read by one task; its records are dealt out before they are parsed.
+    members, padding, prologues) goes. Values stay as they are, line breaks too, but values of
+    white space alone are null; white space that breaks lines between elements goes. A gzip archive is read by one task; its records are dealt out before they are parsed.
     """
     end = f"</{row_tag}>"
     chunks = spark.read.text(path, lineSep=end)

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ QUICK = ("facet_search", "facet_multi", "geohash_grid", "nested_vs_flat", "bm25_
 def rows(df):
     d = df[sorted(df.columns)].copy()
     for c in d.columns:
-        d[c] = [None if v is None or v != v else f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v) for v in d[c].tolist()]
+        d[c] = [None if v is None or v is pd.NA or v != v else f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v) for v in d[c].tolist()]
     return sorted(map(str, d.itertuples(index=False, name=None)))
 
 

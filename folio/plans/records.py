@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators import derive, links, lookups
+from folio.operators import derive, links, lookups, parts, rules
 
 from .catalogue import Tables
 
@@ -42,10 +42,10 @@ def field(tag: str, ind: str, *subs: tuple[str, Column | str], when: Column | No
     return f if when is None else F.when(when, f)
 
 
-def records(df: DataFrame, key: str, *data: Column, six: Column | str = "a", seven: Column | str = "m", f007: Column | str | None = None, f008: Column | None = None) -> DataFrame:
+def records(df: DataFrame, key: str, *data: Column, six: Column | str = "a", seven: Column | str = "m", f007: Column | str | None = None, f008: Column | None = None, f006: Column | str | None = None) -> DataFrame:
     """One record for each row, with the columns of the row beside it."""
     controls = [F.struct(F.lit("001").alias("tag"), F.col(key).cast("string").alias("value"))]
-    for tag, v in (("007", f007), ("008", f008)):
+    for tag, v in (("006", f006), ("007", f007), ("008", f008)):
         if v is not None:
             controls.append(F.struct(F.lit(tag).alias("tag"), _col(v).alias("value")))
     leader = F.concat(F.lit("00000n"), _col(six), _col(seven), F.lit(" a2200000 c 4500"))
@@ -479,6 +479,137 @@ def record_tables(t):
     return d.select("record_id", flat(F.col("n")).alias("notations"), place["label"].alias("place"), place["geo"]["lat"].alias("lat"), F.col("by.isil").alias("isil"))
 
 
+# --- rules as data, containment, custody, scripts -------------------------------------------------------
+
+
+def _at(position: int, code: Column | str) -> Column:
+    """008 with a code at a position, where there is one."""
+    return F.coalesce(F.overlay(fixed_field(), _col(code), position + 1), fixed_field())
+
+
+@_query("""
+    select o_orderkey::varchar as record_id,
+           ['Audio-Dokument|Audio-Kassette', 'Online-Ressource', 'Video|Audio-Visuell', 'Print', 'Audio-Dokument|Schallplatte', 'Audio-Dokument|Datenträger', 'Print', 'Sonstige'][o_orderkey % 8 + 1] as medium,
+           'BibliographicResource|' || ['Miscellaneous', 'Book', 'Miscellaneous', 'Map', 'Miscellaneous', 'Miscellaneous', 'Book', 'Miscellaneous'][o_orderkey % 8 + 1] as kinds
+    from orders
+""")
+def record_media_rules(t):
+    m = _k() % 8
+    r = records(
+        t.orders, "o_orderkey", field("338", "  ", ("b", "vd"), when=m == 2), field("300", "  ", ("a", "1 Schallpl. : 33 UpM"), when=m == 4),
+        six=F.when(m == 3, "e").when(m == 7, "k").otherwise("a"), f007=F.when(m == 0, "ss lunjlc").otherwise("|"), f008=_at(23, F.when(m == 1, "o")), f006=F.when(m == 5, "m        h").otherwise("|"),
+    )
+    both = rules.media_and_kinds()
+    return r.select("record_id", both.alias("x")).select("record_id", flat(F.col("x.medium")).alias("medium"), flat(F.col("x.type")).alias("kinds"))
+
+
+@_query("""
+    select o_orderkey::varchar as record_id,
+           'BibliographicResource|' || ['Bibliography|Book', 'Biography|Book', 'Newspaper|Periodical', 'Festschrift|Book', 'Map|Book', 'PublishedScore|Book', 'Article', 'Thesis|Book', 'Festschrift|Book'][o_orderkey % 9 + 1] as kinds
+    from orders
+""")
+def record_kind_rules(t):
+    m = _k() % 9
+    at = lambda n, code: F.when(m == n[0], F.overlay(fixed_field(), F.lit(code), n[1] + 1))
+    f008 = F.coalesce(at((0, 24), "b"), at((1, 34), "a"), at((2, 21), "n"), at((3, 30), "1"), fixed_field())
+    r = records(
+        t.orders, "o_orderkey", field("245", "10", ("a", F.when(m == 8, "Eine Festschrift").otherwise("T"))), field("300", "  ", ("a", "1 Karte"), when=m == 4),
+        six=F.when(m == 5, "c").otherwise("a"), seven=F.when(m == 2, "s").when(m == 6, "a").otherwise("m"), f008=f008, f006=F.when(m == 7, "a         m").otherwise("|"),
+    )
+    return r.select("record_id", flat(rules.media_and_kinds(titles=F.array(derive.title()))["type"]).alias("kinds"))
+
+
+@_query("""
+    with o as (select o_orderkey as k, o_custkey as c, o_orderkey % 5 <> 4 as network from orders)
+    select k::varchar as record_id, 'http://c.example/journals' as id, 'Journals' as label from o where k % 2 = 0
+    union all select k::varchar, 'http://c.example/PKG-' || c, case when c = 1 then 'The first' else 'Package PKG-' || c end from o where k % 3 = 0
+    union all select k::varchar, 'http://c.example/PKG-1', 'The first' from o where k % 3 = 0 and c <> 1
+    union all select k::varchar, 'http://c.example/region', 'Region' from o where k % 4 = 1 and network
+""")
+def record_memberships(t):
+    """Packages by number, a collection by a link's note in two fields, one for the network's records only."""
+    links_ = [field("856", "40", ("u", "http://x"), ("x", "JNL"), when=_k() % 2 == 0)] * 2
+    r = records(
+        t.orders, "o_orderkey", *links_, field("912", "  ", ("a", F.concat(F.lit("PKG-"), "o_custkey", F.lit("-extra"))), when=_k() % 3 == 0), field("912", "  ", ("a", "PKG-1"), when=(_k() % 3 == 0) & (F.col("o_custkey") != 1)),
+        field("960", "  ", ("r", "a region"), when=_k() % 4 == 1), field("MBD", "  ", ("M", derive.NETWORK), when=_k() % 5 != 4),
+    )
+    table = (
+        rules.Membership("856??", "x", "JNL", "http://c.example/journals", "Journals"), rules.Membership("912  ", "a", "(PKG-[0-9]+).*", "http://c.example/$1", "Package $1"),
+        rules.Membership("960??", "r", ".*region.*", "http://c.example/region", "Region", network=True),
+    )
+    found = rules.memberships(table, derive.in_network(), {"http://c.example/PKG-1": "The first"})
+    return r.select("record_id", F.explode(found).alias("x")).select("record_id", "x.id", "x.label")
+
+
+@_query("""
+    with o as (select o_orderkey as k, o_orderkey % 6 as m, 'https://example.org/resources/' as base, 'Title ' || o_orderkey as title, o_custkey as c from orders)
+    select k::varchar as record_id, 'isPartOf' as kind, base || 'HT' || c || '#!' as id, 'Host' as label, '3' as numbering from o where m = 0
+    union all select k::varchar, 'isPartOf', null, 'Loose', null from o where m = 1
+    union all select k::varchar, 'isPartOf', base || 'ZDB-' || c || '#!', title, null from o where m = 1
+    union all select k::varchar, 'isPartOf', null, 'Series A / Sub', '7' from o where m = 2
+    union all select k::varchar, 'isPartOf', base || 'HT9#!', 'The New', '8' from o where m = 3
+    union all select k::varchar, 'isPartOf', null, 'Kept', null from o where m = 4
+    union all select k::varchar, 'containedIn', base || 'HT1#!', 'Journal', null from o where m = 5
+""")
+def record_containment(t):
+    """Hosts with and without numbers, series of both kinds, their replacements, and component parts."""
+    m = _k() % 6
+    r = records(
+        t.orders, "o_orderkey", field("245", "10", ("a", F.concat(F.lit("Title "), _k(), F.lit(" /")))),
+        field("773", "08", ("w", F.concat(F.lit("(DE-605)HT"), "o_custkey")), ("t", "Host"), ("q", "3 /"), when=m == 0),
+        field("773", "08", ("t", "Loose"), when=m == 1), field("773", "08", ("w", F.concat(F.lit("(DE-600)"), "o_custkey")), when=m == 1), field("773", "08", ("t", "Late"), when=m == 1), field("773", "08", ("t", "Hidden"), ("9", "LOCAL"), when=m == 1),
+        field("490", "0 ", ("a", "Series A"), ("a", "Sub"), ("v", "7 ;"), when=m == 2), field("490", "1 ", ("a", "Old"), when=m == 3), field("830", " 0", ("a", "<<The>> New"), ("w", "(DE-605)HT9"), ("v", "8"), when=m == 3),
+        field("490", "1 ", ("a", "Kept"), when=m == 4), field("773", "08", ("w", "(DE-605)HT1"), ("t", "Journal"), when=m == 5), seven=F.when(m == 5, "a").otherwise("m"),
+    )
+    found = parts.containment()
+    d = r.select("record_id", found["isPartOf"].alias("p"), found["containedIn"].alias("c"))
+    p = d.select("record_id", F.explode("p").alias("x")).select("record_id", F.lit("isPartOf").alias("kind"), F.col("x.hasSuperordinate")[0]["id"].alias("id"), F.col("x.hasSuperordinate")[0]["label"].alias("label"), F.col("x.numbering").alias("numbering"))
+    c = d.select("record_id", F.explode("c").alias("x")).select("record_id", F.lit("containedIn").alias("kind"), "x.id", "x.label", F.lit(None).cast("string").alias("numbering"))
+    return p.unionByName(c)
+
+
+@_query("""
+    with o as (select o_orderkey as k, o_orderkey % 3 as m, 'N' || o_custkey as call_number from orders)
+    select k::varchar as record_id, 'DE-1' as library, call_number, case when m = 0 then 1 else 0 end as events, case when m = 0 then '1999-01-02' end as first, case when m = 0 then 'https://d-nb.info/gnd/5' end as owner from o
+    union all select k::varchar, 'DE-2', 'X 1', 2, null, null from o where m = 1
+""")
+def record_custody(t):
+    """Owners of an item that is there, of one that isn't, and none."""
+    m, call = _k() % 3, F.concat(F.lit("N"), "o_custkey")
+    r = records(
+        t.orders, "o_orderkey", field("ITM", "  ", ("a", _k()), ("M", "M1"), ("w", "DE-1"), ("x", "hall"), ("v", "hall"), ("n", call)),
+        field("361", "  ", ("5", "DE-1"), ("s", call), ("a", "Owner"), ("0", "(DE-588)5"), ("k", "19990102"), ("f", "Nummer 7"), when=m == 0),
+        *(field("361", "  ", ("5", "DE-2"), ("s", "X 1"), ("a", a), when=m == 1) for a in ("One", "Two")),
+    )
+    each = r.select("record_id", F.explode(parts.with_custody(derive.items())).alias("i"))
+    events = F.coalesce("i.custodialHistory", F.array().cast(each.select("i.custodialHistory").schema[0].dataType))
+    first = F.try_element_at(events, F.lit(1))
+    return each.select("record_id", F.col("i.currentLibrary").alias("library"), F.col("i.callNumber").alias("call_number"), F.size(events).alias("events"), first["startDate"].alias("first"), first["owner"]["id"].alias("owner"))
+
+
+@_query("""
+    with c as (select c_custkey::varchar as record_id, c_custkey % 3 as m, c_name as n from customer)
+    select record_id, 'Cyrl' as script, 'Cyrillic' as script_label, n || ' T' as title, n || ' A' as agent, n || ' S' as subject, n || ' P' as part, n || ' L' as place from c where m < 2
+    union all select record_id, 'Arab', 'Arab', n || ' AT', null, null, null, null from c where m = 1
+""")
+def record_other_scripts(t):
+    """Titles, agents, subjects, series and places in other scripts, and fields that no field names back."""
+    m, n = F.col("c_custkey") % 3, F.col("c_name")
+    said = lambda tag, ind, at, x, mark="/Cyrl", when=m < 2: field("880", ind, ("6", f"{tag}-{at}{mark}"), ("a", F.concat(n, F.lit(f" {x}"))), when=when)
+    own = lambda tag, ind, at: field(tag, ind, ("6", f"880-{at}"), ("a", "own"))
+    r = records(
+        t.customer, "c_custkey", own("245", "10", "01"), own("100", "1 ", "02"), own("650", " 0", "03"), own("490", "0 ", "04"), own("264", " 1", "05"),
+        said("245", "10", "01", "T"), said("100", "1 ", "02", "A"), said("650", " 0", "03", "S"), said("490", "0 ", "04", "P"), said("264", " 1", "05", "L"),
+        said("245", "10", "01", "AT", "/Arab/r", m == 1), said("245", "10", "07", "lost"), said("246", "10", "00", "loose"),
+    )
+    d = parts.other_scripts(r, {"Cyrl": "Cyrillic"}, THIS_YEAR).select("record_id", F.explode("alternateGraphicRepresentation").alias("x"))
+    at = lambda c: F.try_element_at(F.col(f"x.record.{c}"), F.lit(1))
+    return d.select(
+        "record_id", F.col("x.script.id").alias("script"), F.col("x.script.label").alias("script_label"), F.col("x.record.title").alias("title"), at("contribution").alias("agent"), at("subject").alias("subject"),
+        at("isPartOf")["hasSuperordinate"][0]["label"].alias("part"), at("publication")["location"][0].alias("place"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -18,13 +18,17 @@ def token_table(df: DataFrame, key: str, text: Column, field: str = "text", stop
 def token_frequencies(df: DataFrame, text: Column, stop: Sequence[str] = ()) -> DataFrame:
     """``(token, df, tf)``: documents with each token, and its places.
 
-    A document's tokens are sorted inside the row, so the first of equal ones is known before they are dealt out by
-    token: one shuffle, pre-aggregated.
+    A document's tokens are sorted inside the row, so that equal ones are a run, and each distinct token is dealt out
+    once with its run's length: one shuffle, pre-aggregated.
     """
-    w = df.select(F.array_sort(C.tokens(text, stop)).alias("w"))
-    each = F.transform("w", lambda x, i: F.struct(x.alias("token"), ((i == 0) | (F.try_element_at("w", i) != x)).alias("first")))
-    each = w.select(F.explode(each).alias("x"))
-    return each.groupBy(F.col("x.token").alias("token")).agg(F.count_if("x.first").alias("df"), F.count(F.lit(1)).alias("tf"))
+
+    def counted(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
+        return C.let(starts, lambda s: F.transform(s, lambda at, k: F.struct(F.get(w, at - 1).alias("token"), (F.coalesce(F.get(s, k + 1), F.size(w) + 1) - at).alias("n"))))
+
+    runs = C.let(F.array_sort(C.tokens(text, stop)), lambda w: F.when(F.size(w) > 0, counted(w)))
+    each = df.select(F.explode(runs).alias("x"))
+    return each.groupBy(F.col("x.token").alias("token")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.n").alias("tf"))
 
 
 def bm25(df: DataFrame, key: str, text: Column, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -33,8 +37,9 @@ def bm25(df: DataFrame, key: str, text: Column, query: Sequence[str], k1: float
     A document is one row: its length and counts are taken inside it, and the statistics are one global aggregate.
     """
     is_ = lambda q: lambda x: x == q
-    w = df.select(F.col(key).alias("key"), C.tokens(text, ()).alias("w"))
-    lengths = w.select("key", F.size("w").alias("len"), *(F.size(F.filter("w", is_(q))).alias(f"tf{i}") for i, q in enumerate(query))).where("len > 0")
+    counts = C.let(C.tokens(text, ()), lambda w: F.struct(F.size(w).alias("len"), *(F.size(F.filter(w, is_(q))).alias(f"tf{i}") for i, q in enumerate(query))))
+    # a generator keeps filters above it, so that a text is split once a pass
+    lengths = df.select(F.col(key).alias("key"), F.inline(F.array(counts))).where("len > 0")
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
     hits = lengths.where(" or ".join(f"tf{i} > 0" for i in range(len(query)))).join(F.broadcast(stats))  # a single row
     parts = []

@@ -1,8 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of every whole text that holds an anchor word, and the paragraph around it, is compared with
-the notices and openings of well-known licences by the cosine of sparse TF-IDF vectors over the
-templates' terms. Every whole text is compared in the same way with the whole licence texts of the folder
+Every line and paragraph of every whole text is compared with the notices and openings of well-known licences by
+the cosine of sparse TF-IDF vectors over the templates' terms; those without any telling term are passed over, as
+they can't reach the cosine. Every whole text is compared in the same way with the whole licence texts of the folder
 ``licence_texts``. Document frequencies of these terms are counted over all texts of the corpus. A text
 that is mostly licence words, or a whole licence text, is a licence file and speaks for its directory; lines of
 the licence text it is aren't headers of other licences. An SPDX line is a header of each licence that its
@@ -40,16 +40,14 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ("licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license"),
     "CC-BY-SA-4.0": ("licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license"),
     "CC0-1.0": ("licensed under cc0 1.0", "creative commons zero cc0 1.0 universal public domain dedication"),
-    "GPL-2.0": ("this work is licensed under the gnu general public license version 2", "gnu general public license version 2 june 1991"),
-    "GPL-3.0": ("this work is licensed under the gnu general public license version 3", "gnu general public license version 3 29 june 2007"),
+    "GPL-2.0": ("this work is licensed under the gnu general public license version 2", "gnu general public license version 2 june 1991", "distributed under the terms of the gnu gpl v2"),
+    "GPL-3.0": ("this work is licensed under the gnu general public license version 3", "gnu general public license version 3 29 june 2007", "distributed under the terms of the gnu gpl v3"),
     "ISC": ("licensed under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     "LGPL-3.0": ("licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3 29 june 2007"),
     "MIT": ("released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     "MPL-2.0": ("this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0"),
     "Unlicense": ("this is free and unencumbered software released into the public domain", "released under the unlicense"),
 }
-#: A line without one of these isn't a header.
-ANCHORS = ("licen", "permission", "redistribution", "public domain", "creative commons", "spdx")
 _TERM = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]")
 
 
@@ -101,6 +99,22 @@ class Matcher:
             for t, w in v.items():
                 self.by_term.setdefault(t, []).append((i, w))
 
+    def telling(self, least: float) -> frozenset[str]:
+        """Terms of which any text at this cosine to a template holds one.
+
+        All others are so common that their part of any template is shorter than ``least``, and what a text shares
+        with a template of these alone gives no more than that.
+        """
+        common: set[str] = set()
+        part = [0.0] * len(self.templates)
+        for t in sorted(self.by_term, key=lambda t: (self.idf[t], t)):
+            grown = {i: part[i] + w * w for i, w in self.by_term[t]}
+            if all(x < least * least - 1e-9 for x in grown.values()):
+                common.add(t)
+                for i, x in grown.items():
+                    part[i] = x
+        return frozenset(self.by_term) - common
+
     def _vector(self, counts: Counter) -> dict[str, float]:
         v = {t: (1 + math.log(k)) * self.idf.get(t, self.other) for t, k in counts.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
@@ -121,17 +135,20 @@ class Matcher:
         return self.templates[i][0], score[i]
 
 
-def headers(text: str, matcher: Matcher, least: float, body: str = "") -> tuple[list[tuple[str, float, int]], int]:
+def headers(text: str, matcher: Matcher, telling: frozenset[str], least: float, body: str = "") -> tuple[list[tuple[str, float, int]], int]:
     """``(licence, cosine, line)`` of the matching lines, best first, and the words in them.
 
+    ``telling``: a line without any of these terms is at no template, and neither is a paragraph of such lines.
     ``body``: terms of the licence text that the whole text is; what stands in it is no header of its own.
     """
-    if not any(a in text.lower() for a in ANCHORS):
+    low = text.lower()
+    marked = "spdx" in low
+    if not marked and telling.isdisjoint(_TERM.findall(low)):
         return [], 0
     found, words, k = [], 0, 0
     for blank, group in itertools.groupby(text.split("\n"), key=lambda x: not x.strip()):
         lines = list(group)
-        held = [] if blank else [(k + j, x) for j, x in enumerate(lines) if any(a in x.lower() for a in ANCHORS)]
+        held = [] if blank else [(k + j, x) for j, x in enumerate(lines) if not telling.isdisjoint(terms(x)) or marked and "spdx" in x.lower()]
         if body:
             held = [(j, x) for j, x in held if f" {' '.join(terms(x))} " not in body]
         k += len(lines)
@@ -158,16 +175,24 @@ def ancestors(directory: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def scanned_text(text: str, matcher: Matcher, whole: Matcher, joined: dict[str, str], least: float, file_share: float) -> tuple:
+def scanned_text(text: str, matcher: Matcher, telling: frozenset[str], whole: Matcher, joined: dict[str, str], least: float, file_share: float) -> tuple:
     """``own, cosine, licenses, is_file`` of one text.
 
-    Of a text at this cosine to a licence text, ``file_share`` of the squared norm lies along it.
+    Of a text at this cosine to a licence text, ``file_share`` of the squared norm lies along it. A licence text whose
+    title is that of a licence without a text here, such as a variant of one that has, goes by its title.
     """
     body = whole.best(text)
     if body and body[1] < max(least, math.sqrt(file_share)):
         body = None
-    found, words = headers(text, matcher, least, joined[body[0]] if body else "")
+    titled = None
+    if body:
+        top = list(itertools.islice((x for x in text.split("\n") if x.strip()), 2))
+        titles = [m for x in (top[0], " ".join(top)) if (m := matcher.best(x)) and m[1] >= least]
+        title = max(titles, key=lambda m: m[1], default=None)
+        titled = title if title and title[0] not in joined else None
+    found, words = headers(text, matcher, telling, least, joined[body[0]] if body else "")
     is_file = body is not None or bool(found) and words >= file_share * len(text.split())
+    body = titled or body
     lead = body or (found[0][:2] if found else (None, None))
     return *lead, sorted({x[0] for x in found} | ({body[0]} if body else set())), is_file
 
@@ -199,9 +224,10 @@ def license_scan(docs: DataFrame, path: Column, least: float = 0.6, file_share:
         df, texts = sent.value
         n = df.get("\0", 0)
         matcher, whole = Matcher(df, n), Matcher(df, n, texts)
+        telling = matcher.telling(least)
         joined = {name: f" {' '.join(terms(x))} " for name, (x,) in texts.items()}
         for b in batches:
-            out = [scanned_text(t or "", matcher, whole, joined, least, file_share) for t in b.column("text").to_pylist()]
+            out = [scanned_text(t or "", matcher, telling, whole, joined, least, file_share) for t in b.column("text").to_pylist()]
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("doc_id"), b.column("path"), *(pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.list_(pa.string()), pa.bool_()), strict=True))], ["_row", "doc_id", "path", "own", "cosine", "licenses", "is_file"])
 

@@ -8,15 +8,15 @@ Texts become sets of hashed word n-grams, equal sets one class, so that copies c
    a frequent n-gram's counter stands out from the others' by far more than their deviation.
 2. A second pass gives each class its prefix, so many of its rarest n-grams that two linked classes must share one,
    and a signature for the suffix filter. Prefixes are joined on their n-grams; n-grams of one class go.
-3. Two turns of stars: each class is compared with one other that it shares most prefix n-grams with, the
-   list's hub. That makes one component of most near copies of a text, however many they are, by one pair a class.
-4. Then every two classes that share a prefix n-gram and aren't in one component yet are a candidate, once: the
-   length filter in the join, the positional filter by their first common n-gram, the suffix filter by signatures.
-   What passes is verified on the full sets, once per pair. The filters lose no pair; links within a component can't
-   change the answer and are not looked for.
+3. A few turns of stars: each class is compared with those two others that it shares most prefix n-grams with among
+   a list's hubs. That makes one component of most near copies of a text, however many they are, by two pairs a class.
+4. What is apart yet meets in the lists: members of different components that pass the length, positional and suffix
+   filters are partners. No pair is a row: a list gives its members by the two components, each once.
+5. The partners of two components, in buckets of bounded size, are verified on the full sets until one link joins
+   the components, once for all lists. The filters lose no pair; links within a component can't change the answer.
 
 The suffix filter: n-grams are dealt to as many parts as the set has members, and a signature holds the parity
-of each part. Two sets differ in at least as many n-grams as signatures differ in bits, so a pair with more
+of each part, 1,024 at least. Two sets differ in at least as many n-grams as signatures differ in bits, so a pair with more
 such bits than the similarity allows is none. Signatures of larger sets are folded to the smaller one's parts.
 
 Defined cases: null and empty texts, or texts without words, have an empty set and are linked with
@@ -31,16 +31,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, placed
-from .near_dedup import shingle_sets
+from .near_dedup import _buckets, _groups, _shared, shingle_sets
 
-#: Counters of n-grams, the slices they are summed in, and turns of stars.
-COUNTERS, SLICES, TURNS = 1 << 20, 64, 2
-#: Members compared with one hub in a bucket.
-SIDE = 512
+#: Counters of n-grams, the slices they are summed in, turns of stars, and hubs of a list in each.
+COUNTERS, SLICES, TURNS, HUBS = 1 << 22, 256, 3, 3
+#: Parts of a signature at least, members compared with one hub in a bucket, and members of a list compared in one task.
+PARTS, SIDE, LIMIT = 1024, 512, 8192
 _TOP = np.uint64(64 - (COUNTERS - 1).bit_length())
 
 
@@ -71,7 +72,8 @@ def _counted(d: DataFrame, k: int) -> DataFrame:
         if held:
             total += np.bincount(np.concatenate(held), minlength=COUNTERS)
         if total.any():
-            parts = [x.astype("<u4").tobytes() for x in np.split(total, SLICES)]
+            pack = zstandard.ZstdCompressor(level=1).compress
+            parts = [pack(x.astype("<u4").tobytes()) for x in np.split(total, SLICES)]
             none = [pa.nulls(SLICES, t) for t in kinds[:5]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
@@ -81,25 +83,27 @@ def _counted(d: DataFrame, k: int) -> DataFrame:
 def _ranks(counted: DataFrame) -> np.ndarray:
     """How frequent each counter is, an eighth of an octave a step; a table of fixed size."""
 
-    def summing(kind: str):
+    def summing(last: bool):
         def run(batches):
+            pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
             total: dict[int, np.ndarray] = {}
             for b in batches:
-                for s, c in zip(b.column("slot").to_pylist(), b.column("counts"), strict=True):
-                    x = np.frombuffer(c.as_buffer(), kind).astype(np.int64)
+                for s, c in zip(b.column("slot").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                    x = np.frombuffer(unpack(c), "<i8" if last else "<u4").astype(np.int64)
                     total[s] = total[s] + x if s in total else x
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slot", "counts"])
+            for s, x in total.items():
+                out = np.minimum(255, 8 * np.log2(1 + x)).astype(np.uint8).tobytes() if last else pack(x.astype("<i8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([out], pa.binary())], ["slot", "counts"])
 
         return run
 
     # summed where they lie, then by slice
-    parts = counted.where("slot is not null").select("slot", "counts").mapInArrow(summing("<u4"), "slot int, counts binary")
-    found = parts.repartition(SLICES, "slot").mapInArrow(summing("<i8"), "slot int, counts binary").collect()
-    total = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    parts = counted.where("slot is not null").select("slot", "counts").mapInArrow(summing(False), "slot int, counts binary")
+    found = parts.repartition(SLICES // 8, "slot").mapInArrow(summing(True), "slot int, counts binary").collect()
+    rank = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
     for r in found:
-        total[r.slot] = np.frombuffer(r.counts, "<i8")
-    return np.minimum(255, 8 * np.log2(1 + total.reshape(-1))).astype(np.uint8)
+        rank[r.slot] = np.frombuffer(r.counts, np.uint8)
+    return rank.reshape(-1)
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -109,11 +113,19 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 def signature(x: np.ndarray) -> bytes:
     """The parity of each part of the set, as many parts as members, a power of two."""
-    parts = max(64, 1 << (len(x) - 1).bit_length())
+    parts = max(PARTS, 1 << (len(x) - 1).bit_length())
     odd = np.bincount((x & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(sig: bytes) -> bytes:
+    """A signature of ``PARTS`` parts."""
+    a = np.frombuffer(sig, np.uint8)
+    while len(a) > PARTS // 8:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a.tobytes()
+
+
 def differing(one: bytes, two: bytes) -> int:
     """In how many n-grams two sets differ at least, by their signatures."""
     a, b = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
@@ -124,11 +136,11 @@ def differing(one: bytes, two: bytes) -> int:
 
 
 def _prefixes(d: DataFrame, rank: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """``(_file, _at, n, prefix, sig)`` of each document that an unequal set may be linked with."""
+    """``(_file, _at, n, prefix, sig, wide)`` of each document that an unequal set may be linked with."""
 
     def run(batches):
         for b in batches:
-            keep, n, prefix, sig = [], [], [], []
+            keep, n, prefix, sig, wide = [], [], [], [], []
             for i, x in enumerate(shingle_sets(b.column("text").to_pylist(), k)):
                 if p := prefix_length(len(x), num, den):
                     order = np.argsort(rank[x >> _TOP], kind="stable")[:p]  # sets are sorted by hash
@@ -136,10 +148,11 @@ def _prefixes(d: DataFrame, rank: np.ndarray, k: int, num: int, den: int) -> Dat
                     n.append(len(x))
                     prefix.append(x[order].view(np.int64))
                     sig.append(signature(x))
+                    wide.append(folded(sig[-1]))
             b = b.select(["_file", "_at"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["_file", "_at", "n", "prefix", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(z, pa.binary()) for z in (sig, wide))], ["_file", "_at", "n", "prefix", "sig", "wide"])
 
-    return d.select("_file", "_at", "text").mapInArrow(run, "_file long, _at long, n long, prefix array<long>, sig binary")
+    return d.select("_file", "_at", "text").mapInArrow(run, "_file long, _at long, n long, prefix array<long>, sig binary, wide binary")
 
 
 def _sets(d: DataFrame, of: DataFrame, k: int) -> DataFrame:
@@ -168,7 +181,7 @@ def _close(pairs: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFra
         for b in batches:
             n = b.column("na").to_numpy() + b.column("nb").to_numpy()
             # |A| + |B| - 2 |A and B|, for the least intersection that links
-            most = n - 2 * -(-num * n // (num + den))
+            most = _most_apart(n, num, den)
             apart = [differing(x, y) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)]
             ok = pa.array(np.array(apart, np.int64) <= most)
             yield b.select(["a", "b"]).filter(ok)
@@ -212,7 +225,88 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("r", F.coalesce("root", "c")).drop("root")
 
 
-def ngram_join(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", turns: int = TURNS) -> DataFrame:
+def _bits(column: pa.ChunkedArray) -> np.ndarray:
+    """Signatures of ``PARTS`` parts, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARTS // 64)
+
+
+def _most_apart(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """In how many n-grams two sets of so many together differ at most, if they are linked."""
+    return n - 2 * -(-num * n // (num + den))
+
+
+def _partners(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``(lo, hi, side, c)``: members of the lists of ``rows(g, c, r, n, pos, wide)`` that may be linked with a member
+    of another component, by both components: ``lo`` is the smaller, ``side`` 0 or 1 that of ``c``."""
+
+    def run(batches):
+        for _, (c, r, n, pos, wide) in _groups(batches, "g", ("c", "r", "n", "pos", "wide")):
+            c, r, n, pos, sig = c.to_numpy(), r.to_numpy(), n.to_numpy(), pos.to_numpy(), _bits(wide)
+            _, of, count = np.unique(r, return_inverse=True, return_counts=True)
+            # all but the members of the largest component, against everybody
+            few = np.flatnonzero(of != count.argmax())
+            found = [np.zeros((0, 4), np.int64)]
+            step = max(1, (1 << 19) // len(c))
+            for a in range(0, len(few), step):
+                i = few[a : a + step]
+                low, high = np.minimum(n[i][:, None], n), np.maximum(n[i][:, None], n)
+                # n-grams before a common one may be common too, those after it at most as the shorter rest
+                most = np.minimum(pos[i][:, None], pos) + np.minimum((n - pos)[i][:, None], n - pos)
+                x, j = np.nonzero((r[i][:, None] != r) & (den * low >= num * high) & ((num + den) * most >= num * (low + high)))
+                i = i[x]
+                for k in range(0, len(i), 1 << 17):
+                    x, y = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
+                    ok = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64) <= _most_apart(n[x] + n[y], num, den)
+                    x, y = x[ok], y[ok]
+                    lo, hi = np.minimum(r[x], r[y]), np.maximum(r[x], r[y])
+                    for z in (x, y):
+                        found.append(np.unique(np.stack((lo, hi, (r[z] > lo).astype(np.int64), c[z]), axis=1), axis=0))
+            found = np.unique(np.concatenate(found), axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["lo", "hi", "side", "c"])
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "lo long, hi long, side long, c long")
+
+
+def _joined(members: DataFrame, num: int, den: int) -> DataFrame:
+    """``(a, b)``: a link between the two sides of each bucket of ``members(k, side, c, n, wide, x)`` that has one, verified
+    on the full sets. The sides are a component each, so one link is enough."""
+
+    def run(batches):
+        for _, (side, c, n, wide, x) in _groups(batches, "k", ("side", "c", "n", "wide", "x")):
+            side, c, n, sig = side.to_numpy(), c.to_numpy(), n.to_numpy(), _bits(wide)
+            one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            found = [np.zeros((0, 3), np.int64)]
+            for i in one.tolist():
+                apart = np.bitwise_count(sig[i] ^ sig[two]).sum(axis=1, dtype=np.int64)
+                low, high = np.minimum(n[i], n[two]), np.maximum(n[i], n[two])
+                ok = (apart <= _most_apart(n[i] + n[two], num, den)) & (den * low >= num * high)
+                found.append(np.stack((np.full(ok.sum(), i), two[ok], apart[ok]), axis=1))
+            pairs = np.concatenate(found)
+            if not len(pairs):
+                continue
+            pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
+            sets = {i: np.frombuffer(x[i].as_py(), "<u8") for i in np.unique(pairs[:, :2]).tolist()}
+            rows, cols = np.unique(pairs[:, 0]), np.unique(pairs[:, 1])
+            link = None
+            for i, j in pairs[: 4 * (len(rows) + len(cols)), :2].tolist():
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                    link = i, j
+                    break
+            else:
+                if len(pairs) > 4 * (len(rows) + len(cols)):
+                    both = _shared([sets[i] for i in rows.tolist()], [sets[j] for j in cols.tolist()])
+                    ok = np.argwhere(den * both >= num * (n[rows][:, None] + n[cols] - both))
+                    if len(ok):
+                        link = int(rows[ok[0, 0]]), int(cols[ok[0, 1]])
+            if link:
+                yield pa.RecordBatch.from_arrays([pa.array([c[i]], pa.int64()) for i in link], ["a", "b"])
+
+    return cut(members.select("k", "side", "c", "n", "wide", "x").repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long"))
+
+
+def ngram_join(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", turns: int = TURNS, limit: int = LIMIT) -> DataFrame:
     """One row for each document: ``_file, _at, doc_id, n_shingles, component_id``."""
     num, den = similarity
     d = _key(docs, id_col, text_col)
@@ -222,37 +316,40 @@ def ngram_join(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 1
     g = every.where("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("low"), F.min(F.struct("_file", "_at")).alias("p"))
     classes = cut(g.select("n", "key", "low", "p._file", "p._at", F.monotonically_increasing_id().alias("c")))
 
-    prefixes = cut(_prefixes(d, rank, k, num, den).join(classes.select("_file", "_at", "c"), ["_file", "_at"]).select("c", "n", "prefix", "sig"))
+    prefixes = cut(_prefixes(d, rank, k, num, den).join(classes.select("_file", "_at", "c"), ["_file", "_at"]).select("c", "n", "prefix", "sig", "wide"))
     posted = prefixes.select("c", "n", F.posexplode("prefix").alias("pos", "g"))
     several = posted.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g")
     lists = cut(posted.join(several, "g").select("g", "c", "n", "pos"))
     sets = _sets(d, classes.join(lists.select("c").distinct(), "c"), k)
 
     def apart(roots: DataFrame | None) -> DataFrame:
-        """The lists of several components, with the component of each member."""
+        """The lists of several components, with the component of each member and the list's size."""
         at = _rooted(lists, roots)
-        mixed = at.groupBy("g").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("g")
+        mixed = at.groupBy("g").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 <> r1").select("g", "size")
         return at.join(mixed, "g")
 
     roots, links = None, None
     for turn in range(turns):
         at = apart(roots)
-        hub = at.groupBy("g").agg(F.min_by(F.struct("c", "r", "n"), F.struct(F.xxhash64("c", F.lit(turn)), "c")).alias("hub"))
-        own = at.join(hub, "g").where((F.col("r") != F.col("hub.r")) & _like(F.col("n"), F.col("hub.n"), num, den))
+        member = F.struct("c", "r", "n")
+        hubs = at.groupBy("g").agg(*(F.min_by(member, F.struct(F.xxhash64("c", F.lit(HUBS * turn + h)), "c")).alias(f"h{h}") for h in range(HUBS)))
+        hubs = hubs.select("g", F.explode(F.array_distinct(F.array(*(f"h{h}" for h in range(HUBS))))).alias("hub"))
+        own = at.join(hubs, "g").where((F.col("r") != F.col("hub.r")) & _like(F.col("n"), F.col("hub.n"), num, den))
         shared = own.groupBy("c", F.col("hub.c").alias("b")).agg(F.count(F.lit(1)).alias("m"))
-        best = shared.groupBy("c").agg(F.max(F.struct("m", "b")).alias("x")).select(F.col("c").alias("a"), F.col("x.b").alias("b"))
+        best = shared.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("m", "b")), asc=False), 1, 2).alias("two")).select(F.col("c").alias("a"), F.explode("two.b").alias("b"))
         found = _verified(cut(_close(best, prefixes, num, den)), sets, num, den)
         links = found if links is None else links.unionByName(found)
         roots = cut(components(links))
 
-    at = cut(apart(roots))
-    one, two = (at.select("g", *(F.col(x).alias(f"{x}{s}") for x in ("c", "r", "n", "pos"))) for s in "ab")
-    met = one.join(two, "g").where((F.col("ca") < F.col("cb")) & (F.col("ra") != F.col("rb")) & _like(F.col("na"), F.col("nb"), num, den))
-    first = met.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb").agg(F.min("posa").alias("i"), F.min("posb").alias("j"))
-    # the positional filter: nothing before the first common n-gram is common
-    most = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
-    first = first.where((num + den) * most >= num * (F.col("na") + F.col("nb")))
-    found = _verified(cut(_close(first, prefixes, num, den)), sets, num, den)
+    at = apart(roots).join(prefixes.select("c", "wide"), "c")
+    # a list above the limit is compared by slices, any two of which meet in half the limit
+    slices = F.when(F.col("size") > limit, F.ceil(2 * F.col("size") / limit)).otherwise(1).cast("long")
+    at = at.withColumns({"slices": slices, "t": F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))})
+    s = F.pmod(F.xxhash64("c"), F.col("slices"))
+    at = at.withColumn("g", F.when(F.col("slices") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least(s, "t"), F.greatest(s, "t"))))
+    need = cut(_partners(at.select("g", "c", "r", "n", "pos", "wide"), num, den).distinct())
+    held = prefixes.select("c", "n", "wide").join(sets, "c")
+    found = _joined(_buckets(need, prefixes.select("c", "n")).join(held, "c"), num, den)
     roots = cut(components(found if links is None else links.unionByName(found)))
 
     of = _rooted(classes.select("n", "key", "low", "c"), roots)

@@ -38,8 +38,8 @@ def test_join(spark, k, similarity, seed):
 
 def test_join_without_stars_is_the_same(spark):
     rows = built(4, 30)
-    one, two = ({r.doc_id: r.component_id for r in ngram_join(table(spark, rows), 4, (85, 100), turns=t).collect()} for t in (0, 2))
-    assert one == two
+    one, two, three = ({r.doc_id: r.component_id for r in ngram_join(table(spark, rows), 4, (85, 100), **how).collect()} for how in ({"turns": 0}, {"turns": 2}, {"turns": 0, "limit": 6}))
+    assert one == two == three
 
 
 def test_odd_tables(spark):

@@ -213,7 +213,7 @@ def test_headers_against_all_cosines():
             missed += bool(best and best[1] >= least) and not found
         assert missed == 0
     m = Matcher(df, 5000)
-    assert headers("A tool. Distributed under the terms of the GNU GPL v3", m, m.telling(0.6), 0.6)[0][0][0] == "GPL-3.0"
+    assert headers("# Distributed under the terms of the GNU GPL v3.", m, m.telling(0.6), 0.6)[0][0][0] == "GPL-3.0"
 
 
 def test_spdx_lines_and_double_licenses(spark):

@@ -7,6 +7,8 @@ a slip, the docstring says what is kept.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -500,18 +502,34 @@ def _some(x: Column) -> Column:
 RELATIONS = {"isPartOf": "773??", "supplement": "770??", "primaryForm": "776??", "predecessor": "780??", "successor": "785??", "related": "775??"}
 
 
-def documents(records: DataFrame, this_year: int, scripts: dict[str, str] | None = None, base: str = BASE) -> DataFrame:
-    """The target documents of all records that aren't rejected, in stages so that no expression grows unbounded."""
+def documents(records: DataFrame, this_year: int, scripts: dict[str, str] | None = None, base: str = BASE, hidden: Column | None = None, collections: Sequence = ()) -> DataFrame:
+    """The target documents of all records that aren't rejected, in stages so that no expression grows unbounded.
+
+    ``hidden``: places whose items stay hidden, see ``items``; ``collections``: ``rules.Membership`` rows. What needs a
+    table of its own (labels, places, external items, titles in other scripts beyond the record's own) is joined
+    by the operators of ``links``, ``lookups`` and ``parts``.
+    """
+    from . import links, parts, rules
+
     d = records.where(~rejected())
-    d = d.withColumns({"inNetwork": in_network(), "level": bibliographic_level(), "type": kinds()})
+    d = d.withColumns({"inNetwork": in_network(), "level": bibliographic_level()})
     d = d.withColumns({
         "id": F.concat(F.lit(base + "resources/"), "record_id", F.lit("#!")), "localId": local_id(), "zdbId": zdb_id(), "urn": urn(), "doi": doi(), "isbn": isbn(), "issn": issn(), "ismn": ismn(), "oclcNumber": oclc(), **agency_ids(),
     })
     d = d.withColumns({"title": title(), **other_titles(), "alternateGraphicRepresentation": _some(linked_titles(scripts or {"Arab": "Arabic", "Cyrl": "Cyrillic", "Hebr": "Hebrew"})), "publication": publication(this_year), "manufacture": manufacture(this_year), "secondaryPublication": secondary_publications(this_year), "describedBy": described_by()})
-    d = d.withColumns({"medium": medium(), "language": language_codes(), "extent": extent(), **notes()})
+    d = d.withColumns({"natureOfContent": _some(links.forms()), **parts.containment(base), **{n: relation(p) for n, p in RELATIONS.items() if n != "isPartOf"}})
+    in_serial = F.exists("isPartOf", lambda p: F.exists(p["hasSuperordinate"], lambda h: h["id"].contains("ZDB-")))
+    numbered = M.values("245??", "n")
+    issue = F.when(F.size(numbered) > 0, ~F.exists(numbered, lambda n: n.contains("..."))).otherwise(F.size(M.values("77308", "q")) > 0)
+    titles = F.concat(F.array("title"), F.coalesce("otherTitleInformation", F.array().cast("array<string>")))
+    contents = F.transform(F.coalesce("natureOfContent", F.array().cast(d.schema["natureOfContent"].dataType)), lambda f: f["label"])
+    d = d.withColumn("_kinds", rules.media_and_kinds(F.col("zdbId"), F.when(in_serial & issue, "issue"), titles, contents))
+    d = d.withColumns({"type": F.col("_kinds.type"), "medium": F.col("_kinds.medium")}).drop("_kinds")
+    d = d.withColumns({"language": language_codes(), "extent": extent(), **notes(), **{n: _some(x) for n, x in links.described_links().items()}, "fulltextOnline": _some(links.fulltext()), **links.works()})
+    d = d.withColumns({"inCollection": _some(rules.memberships(collections, F.col("inNetwork")))} if collections else {})
     d = d.withColumns({"subject": subjects(), "subjectChain": subject_chains(), "contribution": contributions(F.col("type"))})
-    d = d.withColumns({"hasItem": items(), **{n: relation(p) for n, p in RELATIONS.items()}})
-    d = d.withColumn("holders", holder_count(F.col("hasItem")))
+    d = d.withColumn("hasItem", items(hidden))
+    d = d.withColumn("holders", holder_count(F.col("hasItem"))).withColumn("hasItem", parts.with_custody(F.col("hasItem")))
     d = d.withColumn("subjectLabels", subject_labels(F.col("subject"), F.col("subjectChain")))
     year = C.first(F.col("publication"))["startDate"]
     d = d.withColumn("lastCopy", last_copy(F.col("inNetwork"), F.col("holders"), year, F.col("type"), F.col("level.label"), this_year))

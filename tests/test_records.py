@@ -16,7 +16,7 @@ BOOK = '<record><leader>01234nam a2200289 c 4500</leader><controlfield tag="001"
     field("016", "7 ", ("a", "0123456-7"), ("2", "DE-600")),
     field("020", "  ", ("a", "3-16-148410-0 (Pb.)")),
     field("022", "0 ", ("a", "1234-567X")),
-    field("024", "7 ", ("a", "nbn:de:hbz:6-123"), ("2", "urn")),
+    field("024", "7 ", ("a", "nbn:de:abc:6-123"), ("2", "urn")),
     field("024", "7 ", ("a", "10.1234/abc.5"), ("2", "doi")),
     field("035", "  ", ("a", "(DE-605)HT001234567")),
     field("035", "  ", ("a", "(DE-599)GBV55")),
@@ -55,7 +55,7 @@ def test_identifiers(docs):
     assert set(docs) == {"99001", "99003"}
     b = docs["99001"]
     assert b.localId == "HT001234567" and b.gbvId == "55" and b.zdbId == "0123456-7"
-    assert b.urn == ["urn:nbn:de:hbz:6-123"] and b.doi == ["10.1234/abc.5"]
+    assert b.urn == ["urn:nbn:de:abc:6-123"] and b.doi == ["10.1234/abc.5"]
     assert b.isbn == ["3161484100", "9783161484100"] and b.issn == ["1234567X"] and b.oclcNumber == ["777"]
 
 
@@ -76,8 +76,9 @@ def test_dates(docs):
 
 def test_kinds(docs):
     assert docs["99001"].level == ("https://www.loc.gov/marc/bibliographic/bdleader.html#Monograph_Item", "Monograph/Item")
-    assert docs["99001"].type == ["BibliographicResource", "MultiVolumeBook"]
-    assert docs["99003"].type == ["BibliographicResource", "Journal"]
+    # no book by its number of a serial, no volume without the mark of one
+    assert (docs["99001"].type, docs["99001"].medium) == (["BibliographicResource", "Miscellaneous"], ["Print"])
+    assert (docs["99003"].type, docs["99003"].medium) == (["BibliographicResource", "Periodical"], ["Print"])
     assert docs["99001"].language == ["ger", "eng"] and docs["99001"].extent == "12 S. : Ill. ; 20 cm"
 
 
@@ -88,7 +89,8 @@ def test_agents_and_subjects(docs):
     s = docs["99001"].subject
     assert [x.label or x.notation for x in s] == ["Zahl / Geschichte", "510", "SK 110"]
     assert [x.label for x in docs["99001"].subjectChain] == ["Zahl | Primzahl", "Kunst"]
-    assert docs["99001"].isPartOf[0].id == "https://example.org/resources/HT9"
+    part = docs["99001"].isPartOf[0]
+    assert (part.hasSuperordinate[0].id, part.hasSuperordinate[0].label, part.note) == ("https://example.org/resources/HT9#!", "The numbers", ["In"])
 
 
 def test_items(docs):

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 
+def shared_folder(spark) -> str:
+    """A new folder below the one of ``spark.checkpoint.dir``; only a session on one machine may name none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(named or 'file://' + tempfile.gettempdir()).rstrip('/')}/folio/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def ship(spark) -> None:
     """Sends this package to the Python workers of the session, once for each context."""
     sc, name = spark.sparkContext, "folio_package.zip"

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio import shared_folder
 from folio.functions import columns as C
 from folio.functions import nested as N
 
@@ -186,11 +187,38 @@ def period_counts(df: DataFrame, date: str, expected: DataFrame | None = None) -
     return j.withColumn("complete", F.col("expected") == F.col("docs"))
 
 
-def split_items(df: DataFrame, parent: str, items: str, item_id: str) -> DataFrame:
-    """One row for each embedded item, with its parent's id and its position."""
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """Numbers the rows from 0 without gaps by a total order, with no task that sees them all.
+
+    Rows are dealt out by ranges of the order and written once; a range starts where the sizes of those before it end.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    d = spark.read.schema(ranged.schema).parquet(path)
+    # a row a range
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return d.withColumn("_place", place).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+
+
+def with_running_parents(df: DataFrame, parent: str, order: list[str]) -> DataFrame:
+    """Rows without a parent's id get a running number in its stead."""
+    bare = numbered(df.where(F.col(parent).isNull()), order, "_number").withColumn(parent, F.col("_number").cast("string")).drop("_number")
+    return df.where(F.col(parent).isNotNull()).unionByName(bare.select(*df.columns))
+
+
+def split_items(df: DataFrame, parent: str, items: str, item_id: str, context: str | None = None, strip: tuple[str, ...] = ("itemOf", "describedBy", "@context")) -> DataFrame:
+    """One row for each embedded item, with its parent's id, its position and its own id without host and fragment mark.
+
+    ``context`` is added to every item; fields of ``strip`` go. Items whose parent has no id: ``with_running_parents``.
+    """
     e = df.select(F.col(parent).alias("parent_id"), F.posexplode(items).alias("pos", "item"))
     bare = F.regexp_replace(F.regexp_replace(F.col(f"item.{item_id}").cast("string"), r"^https?://[^/]+/", ""), r"#!$", "")
-    return e.select("parent_id", "pos", bare.alias("item_id"), "item.*")
+    kept = [f"item.{n}" for n in e.schema["item"].dataType.names if n not in strip]
+    more = [F.lit(context).alias("@context")] if context else []
+    return e.select("parent_id", "pos", bare.alias("item_id"), *kept, *more)
 
 
 def match_or_create(left: DataFrame, right: DataFrame, keys: list[str], marks: str = "origin") -> DataFrame:

@@ -5,14 +5,12 @@ Orders are documents, their line items nodes without ids, parts and customers no
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio import shared_folder
 from folio.operators import graph, jobs, lookups, validate
 from folio.plans.catalogue import Tables
 from folio.streaming.store import Store
@@ -158,14 +156,6 @@ def document_labels(t):
     return d.select("key", F.lit(-1).alias("i"), "customer.id", "customer.label").unionByName(flat.select("key", "i", "id", "label"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared one; a session on one machine may name none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(named or 'file://' + tempfile.gettempdir()).rstrip('/')}/folio/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
 @_query("""
     with e as (select user_id, event_id, event_type, value, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events)
     select user_id, event_id, event_type, value from e where r = 1 and event_type <> 'error'
@@ -174,7 +164,7 @@ def ingest_batches(t):
     """Three batches of events, the oldest last: of each user the latest event stays, an error deletes the user."""
     e = t.events.select("user_id", "event_id", "event_type", "value", F.struct("ts", "event_id").alias("version"), (F.col("event_type") == "error").alias("deleted"), "ts")
     ends = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    store = Store(t.spark, _folder(t.spark), "user_id", "version", "deleted", buckets=16)
+    store = Store(t.spark, shared_folder(t.spark), "user_id", "version", "deleted", buckets=16)
     third = (ends.b - ends.a) / 3
     cuts = [F.col("ts") > ends.b - third, (F.col("ts") > ends.a + third) & (F.col("ts") <= ends.b - third), F.col("ts") <= ends.a + third]
     for n, part in enumerate(cuts):
@@ -182,6 +172,15 @@ def ingest_batches(t):
     return store.read().select("user_id", "event_id", "event_type", "value")
 
 
+@_query("""
+    select event_id, user_id, case when value >= 50 then cast(user_id as varchar) else cast(row_number() over (partition by value >= 50 order by event_id) - 1 as varchar) end as parent_id from events where value is not null
+""")
+def item_numbers(t):
+    """Items whose parent has no id get a running number, from 0 and without gaps, whatever the partitions."""
+    e = t.events.where("value is not null").select("event_id", "user_id", F.when(F.col("value") >= 50, F.col("user_id").cast("string")).alias("parent"))
+    return jobs.with_running_parents(e, "parent", ["event_id"]).select("event_id", "user_id", F.col("parent").alias("parent_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -121,6 +121,16 @@ def test_labels(spark):
     assert [(r.k[1:], r.s) for r in keys.collect()] == [(["http://a.b/c"], "d"), (["http://a.b/"], "a.b"), (["http://a.b/"], "a.b"), ([], "urn:x")]
 
 
+def test_numbers_without_gaps(spark):
+    d = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(20)
+    got = jobs.numbered(d, ["k"]).orderBy("k").collect()
+    assert [r.number for r in got] == list(range(5000)) and [r.k for r in got] == sorted(r.k for r in got)
+    assert jobs.numbered(d.limit(0), ["k"]).count() == 0
+    items = spark.createDataFrame([("p", [("http://h/items/1#!", "x", "up")])], "id string, items array<struct<id:string,note:string,itemOf:string>>")
+    r = jobs.split_items(items, "id", "items", "id", "http://context").first()
+    assert r.asDict() == {"parent_id": "p", "pos": 0, "item_id": "items/1", "id": "http://h/items/1#!", "note": "x", "@context": "http://context"}
+
+
 def test_schema_rules(spark, tmp_path):
     given = [
         {"id": "http://x/1", "n": 5, "kind": "a", "tags": ["x", "y"], "who": {"id": "u", "extra": 1}, "when": "2024-01-01"},

@@ -84,7 +84,8 @@ def solve(cells: DataFrame, goals: DataFrame, cap: float) -> DataFrame:
             lo, hi = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo")), F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
             step = F.col("lam") - F.try_divide(miss, F.col("slope"))
             nxt = F.when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
-            settled = (F.abs(miss) <= F.col("target") * CLOSE) | (hi - lo < 1e-15) | F.col("got").isNull()
+            # a step that moves nothing is at the end of what doubles can tell
+            settled = (F.abs(miss) <= F.col("target") * CLOSE) | (hi - lo < 1e-15) | (nxt == F.col("lam")) | F.col("got").isNull()
             state = b.select(
                 F.col("b.source").alias("source"), "target",
                 F.when(F.col("done") | settled, F.col("lam")).otherwise(nxt).alias("lam"),
@@ -92,8 +93,8 @@ def solve(cells: DataFrame, goals: DataFrame, cap: float) -> DataFrame:
             )
         state = cut(state)
         if state.where("not done").limit(1).count() == 0:
-            break
-    return state.select("source", "lam", "target")
+            return state.select("source", "lam", "target")
+    raise RuntimeError("the rates of a source did not settle")
 
 
 def round_cells(cells: DataFrame, solved: DataFrame, cap: float, corrections: int = 6) -> DataFrame:

@@ -1,6 +1,7 @@
 """Packing, mixing, counts, scans and scores against plain versions on small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -105,6 +106,31 @@ def test_mixing(spark, rows):
     assert sorted((r.doc_id, r.copies) for r in again) == sorted((r.doc_id, r.copies) for r in got)
 
 
+def test_rates_against_bisection(spark):
+    """Newton on the dual against plain bisection, up to sizes and targets at the ends of what a source can give."""
+    from folio.llm.mixing import solve
+
+    rng = np.random.default_rng(8)
+    cells, goals = [], []
+    for k, share in enumerate((1e-6, 0.01, 0.3, 0.999, 1.0, 1.3, 1.9, 1.999)):
+        own = {int(s): int(rng.integers(1, 50)) for s in rng.integers(1, 10 ** (1 + k % 5), 40)}
+        cells += [(f"s{k}", s, n) for s, n in own.items()]
+        goals.append((f"s{k}", share * sum(s * n for s, n in own.items())))
+    cells += [(None, 7, 3)]
+    goals += [(None, 21.0)]
+    got = {r.source: r.lam for r in solve(spark.createDataFrame(cells, "source string, size long, n long"), spark.createDataFrame(goals, "source string, target double"), 2.0).collect()}
+
+    def given(source, lam):
+        return sum(n * s * min(2.0, math.exp(min(lam * s, 9.0))) for x, s, n in cells if x == source)
+
+    for source, target in goals:
+        lo, hi = -800.0, 1.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if given(source, mid) < target else (lo, mid)
+        assert given(source, got[source]) == pytest.approx(target, rel=1e-6) and given(source, lo) == pytest.approx(target, rel=1e-6)
+
+
 def test_automaton_is_greedy():
     rng = np.random.default_rng(0)
     pieces = {"▁", "▁a", "a", "ab", "abc", "b", "bcd", "▁ab", "cc", "日", "日本", "aab", "dd"}

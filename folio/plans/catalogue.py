@@ -495,9 +495,9 @@ def chain_components(t):
     return order_documents(t).select("o_orderkey", F.array_join("items.l_partkey", " | ").alias("chain"))
 
 
-@_query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@_query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
 def anti_members(t):
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @_query("select s_suppkey from supplier join nation on s_nationkey = n_nationkey where not (n_regionkey = 1 and n_nationkey in (1, 6)) and n_regionkey <> 3")
@@ -711,9 +711,9 @@ def set_union(t):
     return t.orders.select(F.col("o_custkey").alias("k")).union(t.customer.where("c_nationkey = 3").select("c_custkey")).distinct()
 
 
-@_query("select c_custkey as k from customer except select o_custkey from orders")
+@_query("select c_custkey as k from customer except select o_custkey from orders where o_orderstatus = 'P'")
 def set_except(t):
-    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.select("o_custkey"))
+    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @_query("select c_custkey as k from customer where c_nationkey = 3 intersect select o_custkey from orders")

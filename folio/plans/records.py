@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import columns as C
 from folio.operators import derive, links, lookups, parts, rules
 
 from .catalogue import Tables
@@ -610,6 +611,27 @@ def record_other_scripts(t):
     )
 
 
+@_query("""
+    with o as (select o_orderkey as k, o_orderkey % 4 as m, o_custkey as c, year(o_orderdate) as y from orders)
+    select k::varchar as record_id, 'https://example.org/resources/' || k || '#!' as id, 'Order ' || k as title,
+           ['Book', 'Map', 'Periodical', 'MusicalRecording'][m + 1] as kind, case when m = 3 then 'Audio-Dokument' else 'Print' end as medium, case when m = 2 and y > 2024 then null else y::varchar end as year,
+           'Roe ' || c as agent, case when m < 3 then 'https://example.org/resources/HT' || c || '#!' end as part, case when k::varchar like '%7830' then 0 else 1 end::bigint as items
+    from o
+""")
+def record_documents(t):
+    """Whole target documents of all orders, and a few of their fields."""
+    m = _k() % 4
+    r = records(
+        t.orders, "o_orderkey", field("245", "10", ("a", F.concat(F.lit("Order "), _k(), F.lit(" /")))), field("100", "1 ", ("a", F.concat(F.lit("Roe "), "o_custkey"))), field("650", " 0", ("a", "Orders")), field("264", " 1", ("a", "Bonn :"), ("c", _year())),
+        field("300", "  ", ("a", "1 S.")), field("773", "08", ("w", F.concat(F.lit("(DE-605)HT"), "o_custkey")), when=m < 3), field("856", "40", ("u", F.concat(F.lit("http://x.example/"), _k())), ("z", "kostenfrei")), field("MBD", "  ", ("M", derive.NETWORK)), field("ITM", "  ", ("a", _k()), ("M", "M1"), ("w", "L1"), ("x", "h")),
+        six=F.when(m == 1, "e").when(m == 3, "j").otherwise("a"), seven=F.when(m == 2, "s").otherwise("m"), f008=F.when(m == 2, fixed_field(year=_year(), at21="p")).otherwise(fixed_field(year=_year())),
+    ).select("record_id", "leader", "control", "data")
+    d = derive.documents(r, THIS_YEAR)
+    kind = C.first(F.filter("type", lambda k: k.isin("Book", "Map", "Periodical", "MusicalRecording")))
+    part = C.first(F.col("isPartOf"))["hasSuperordinate"][0]["id"]
+    return d.select("record_id", "id", "title", kind.alias("kind"), C.first(F.col("medium")).alias("medium"), C.first(F.col("publication"))["startDate"].alias("year"), C.first(F.col("contribution"))["agent"]["label"].alias("agent"), part.alias("part"), F.size("hasItem").cast("long").alias("items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -7,7 +7,8 @@ Texts become sets of hashed word n-grams, equal sets one class, so that copies c
    first. Which order is taken doesn't change the result, only how many candidates there are, so hashed counts do:
    a frequent n-gram's counter stands out from the others' by far more than their deviation.
 2. A second pass gives each class its prefix, so many of its rarest n-grams that two linked classes must share one,
-   and a signature for the suffix filter. Prefixes are joined on their n-grams; n-grams of one class go.
+   and a signature for the suffix filter. Prefixes are joined on their n-grams; n-grams of one class go, and of those
+   with the same classes one stays.
 3. A few turns of stars: each class is compared with those two others that it shares most prefix n-grams with among
    a list's hubs. That makes one component of most near copies of a text, however many they are, by two pairs a class.
 4. What is apart yet meets in the lists: members of different components that pass the length, positional and suffix
@@ -39,7 +40,7 @@ from .common import components, cut, placed
 from .near_dedup import _buckets, _groups, _shared, shingle_sets
 
 #: Counters of n-grams, the slices they are summed in, turns of stars, and hubs of a list in each.
-COUNTERS, SLICES, TURNS, HUBS = 1 << 22, 256, 3, 3
+COUNTERS, SLICES, TURNS, HUBS = 1 << 22, 256, 2, 3
 #: Parts of a signature at least, members compared with one hub in a bucket, and members of a list compared in one task.
 PARTS, SIDE, LIMIT = 1024, 512, 8192
 _TOP = np.uint64(64 - (COUNTERS - 1).bit_length())
@@ -319,7 +320,11 @@ def ngram_join(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 1
     prefixes = cut(_prefixes(d, rank, k, num, den).join(classes.select("_file", "_at", "c"), ["_file", "_at"]).select("c", "n", "prefix", "sig", "wide"))
     posted = prefixes.select("c", "n", F.posexplode("prefix").alias("pos", "g"))
     several = posted.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g")
-    lists = cut(posted.join(several, "g").select("g", "c", "n", "pos"))
+    met = cut(posted.join(several, "g").select("g", "c", "n", "pos"))
+    # near copies share many n-grams: of lists with the same members, told by 128 bits, one is enough
+    marks = [F.bit_xor(F.xxhash64("c", F.lit(i))).alias(f"f{i}") for i in range(2)]
+    alike = met.groupBy("g").agg(*marks, F.count(F.lit(1)).alias("m")).groupBy("f0", "f1", "m").agg(F.min("g").alias("g"), F.count(F.lit(1)).alias("w"))
+    lists = cut(met.join(alike.select("g", "w"), "g").select("g", "c", "n", "pos", "w"))
     sets = _sets(d, classes.join(lists.select("c").distinct(), "c"), k)
 
     def apart(roots: DataFrame | None) -> DataFrame:
@@ -335,7 +340,7 @@ def ngram_join(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 1
         hubs = at.groupBy("g").agg(*(F.min_by(member, F.struct(F.xxhash64("c", F.lit(HUBS * turn + h)), "c")).alias(f"h{h}") for h in range(HUBS)))
         hubs = hubs.select("g", F.explode(F.array_distinct(F.array(*(f"h{h}" for h in range(HUBS))))).alias("hub"))
         own = at.join(hubs, "g").where((F.col("r") != F.col("hub.r")) & _like(F.col("n"), F.col("hub.n"), num, den))
-        shared = own.groupBy("c", F.col("hub.c").alias("b")).agg(F.count(F.lit(1)).alias("m"))
+        shared = own.groupBy("c", F.col("hub.c").alias("b")).agg(F.sum("w").alias("m"))
         best = shared.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("m", "b")), asc=False), 1, 2).alias("two")).select(F.col("c").alias("a"), F.explode("two.b").alias("b"))
         found = _verified(cut(_close(best, prefixes, num, den)), sets, num, den)
         links = found if links is None else links.unionByName(found)

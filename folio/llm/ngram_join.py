@@ -9,6 +9,7 @@ Texts become sets of hashed word n-grams, equal sets one class, so that copies c
 2. A second pass gives each class its prefix, so many of its rarest n-grams that two linked classes must share one,
    and a signature for the suffix filter. Prefixes are joined on their n-grams; n-grams of one class go, and of those
    with the same classes one stays.
+   Members of a list that no other member can be linked with by the filters aren't looked at any more: their sets are not fetched.
 3. A few turns of stars: each class is compared with those two others that it shares most prefix n-grams with among
    a list's hubs. That makes one component of most near copies of a text, however many they are, by two pairs a class.
 4. What is apart yet meets in the lists: members of different components that pass the length, positional and suffix
@@ -40,9 +41,11 @@ from .common import components, cut, placed
 from .near_dedup import _buckets, _groups, _shared, shingle_sets
 
 #: Counters of n-grams, the slices they are summed in, turns of stars, and hubs of a list in each.
-COUNTERS, SLICES, TURNS, HUBS = 1 << 22, 256, 2, 3
+COUNTERS, SLICES, TURNS, HUBS = 1 << 21, 256, 2, 3
 #: Parts of a signature at least, members compared with one hub in a bucket, and members of a list compared in one task.
 PARTS, SIDE, LIMIT = 1024, 512, 8192
+#: Rows that a task remembers having given.
+SEEN = 1 << 17
 _TOP = np.uint64(64 - (COUNTERS - 1).bit_length())
 
 
@@ -65,7 +68,7 @@ def _counted(d: DataFrame, k: int) -> DataFrame:
                 key.append(hashlib.blake2b(x.astype("<u8").tobytes(), digest_size=16).digest())
                 held.append((x >> _TOP).astype(np.int32))
                 size += len(x)
-                if size > COUNTERS:
+                if size > COUNTERS // 4:
                     total += np.bincount(np.concatenate(held), minlength=COUNTERS)
                     held, size = [], 0
             none = [pa.nulls(b.num_rows, t) for t in kinds[5:]]
@@ -119,10 +122,10 @@ def signature(x: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(sig: bytes) -> bytes:
-    """A signature of ``PARTS`` parts."""
+def folded(sig: bytes, parts: int) -> bytes:
+    """A signature of so many parts."""
     a = np.frombuffer(sig, np.uint8)
-    while len(a) > PARTS // 8:
+    while len(a) > parts // 8:
         a = a[: len(a) // 2] ^ a[len(a) // 2 :]
     return a.tobytes()
 
@@ -149,7 +152,8 @@ def _prefixes(d: DataFrame, rank: np.ndarray, k: int, num: int, den: int) -> Dat
                     n.append(len(x))
                     prefix.append(x[order].view(np.int64))
                     sig.append(signature(x))
-                    wide.append(folded(sig[-1]))
+                    # half as many parts as members still tell unlike sets apart
+                    wide.append(folded(sig[-1], max(PARTS, 1 << (len(x) // 2).bit_length())))
             b = b.select(["_file", "_at"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(z, pa.binary()) for z in (sig, wide))], ["_file", "_at", "n", "prefix", "sig", "wide"])
 
@@ -191,7 +195,7 @@ def _close(pairs: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFra
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The links among ``pairs(a, b)``, on the full sets: buckets of at most about ``SIDE`` members ``a`` and their hub ``b``."""
+    """The links among ``pairs(a, b)`` that have sets, on these: buckets of at most about ``SIDE`` members ``a`` and their hub ``b``."""
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("parts"))
     dealt = pairs.join(parts, "b").withColumn("k", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))))
     hubs = dealt.select("k", F.col("b").alias("hub"), F.col("b").alias("c")).distinct()
@@ -207,8 +211,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 if not member:
                     now, hub = (k, of), x.copy()
                     continue
-                if now != (k, of):
-                    raise RuntimeError("a bucket without its hub")
+                if now != (k, of):  # a hub without a set can't be linked with anything
+                    continue
                 at = np.searchsorted(hub, x)
                 both = int((hub[np.minimum(at, len(hub) - 1)] == x).sum())
                 if den * both >= num * (len(hub) + len(x) - both):
@@ -226,9 +230,18 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("r", F.coalesce("root", "c")).drop("root")
 
 
-def _bits(column: pa.ChunkedArray) -> np.ndarray:
+def _bits(sigs: list[bytes]) -> np.ndarray:
     """Signatures of ``PARTS`` parts, a row each."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARTS // 64)
+    return np.frombuffer(b"".join(x if len(x) == PARTS // 8 else folded(x, PARTS) for x in sigs), np.uint64).reshape(-1, PARTS // 64)
+
+
+def _near(sig: np.ndarray, sigs: list[bytes], x: np.ndarray, y: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs ``x, y`` the suffix filter lets pass: by few parts all, by all their parts the large sets."""
+    most = _most_apart(n[x] + n[y], num, den)
+    ok = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64) <= most
+    for i in np.flatnonzero(ok & (np.minimum(n[x], n[y]) > PARTS)).tolist():
+        ok[i] = differing(sigs[x[i]], sigs[y[i]]) <= most[i]
+    return ok
 
 
 def _most_apart(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -236,13 +249,42 @@ def _most_apart(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n - 2 * -(-num * n // (num + den))
 
 
+def _wanted(rows: DataFrame, num: int, den: int, most: int = 256) -> DataFrame:
+    """``(c)``: members of the lists of ``rows(g, c, n, pos, wide)`` that may be linked with another one, and all of lists longer than ``most``."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for _, (c, n, pos, wide) in _groups(batches, "g", ("c", "n", "pos", "wide")):
+            c, n, pos = c.to_numpy(), n.to_numpy(), pos.to_numpy()
+            if len(c) <= most:
+                low, high = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+                upto = np.minimum(pos[:, None], pos) + np.minimum((n - pos)[:, None], n - pos)
+                ok = (den * low >= num * high) & ((num + den) * upto >= num * (low + high))
+                np.fill_diagonal(ok, False)
+                x, y = np.nonzero(ok)
+                if not len(x):
+                    continue
+                sigs = wide.to_pylist()
+                c = c[np.unique(x[_near(_bits(sigs), sigs, x, y, n, num, den)])]
+            if new := [v for v in c.tolist() if v not in seen]:
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64())], ["c"])
+            if len(seen) > SEEN:
+                seen.clear()
+
+    return rows.select("g", "c", "n", "pos", "wide").repartition("g").sortWithinPartitions("g").mapInArrow(run, "c long")
+
+
 def _partners(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """``(lo, hi, side, c)``: members of the lists of ``rows(g, c, r, n, pos, wide)`` that may be linked with a member
-    of another component, by both components: ``lo`` is the smaller, ``side`` 0 or 1 that of ``c``."""
+    """``(lo, hi, side, c)``: members of the lists of ``rows(home, g, c, r, n, pos, wide)`` that may be linked with a member
+    of another component, by both components: ``lo`` is the smaller, ``side`` 0 or 1 that of ``c``. ``home`` is the
+    smallest member of a list: lists of the same classes mostly meet in a task, which gives a row once."""
 
     def run(batches):
+        seen: set[tuple[int, ...]] = set()
         for _, (c, r, n, pos, wide) in _groups(batches, "g", ("c", "r", "n", "pos", "wide")):
-            c, r, n, pos, sig = c.to_numpy(), r.to_numpy(), n.to_numpy(), pos.to_numpy(), _bits(wide)
+            c, r, n, pos, sigs = c.to_numpy(), r.to_numpy(), n.to_numpy(), pos.to_numpy(), wide.to_pylist()
+            sig = _bits(sigs)
             _, of, count = np.unique(r, return_inverse=True, return_counts=True)
             # all but the members of the largest component, against everybody
             few = np.flatnonzero(of != count.argmax())
@@ -257,16 +299,18 @@ def _partners(rows: DataFrame, num: int, den: int) -> DataFrame:
                 i = i[x]
                 for k in range(0, len(i), 1 << 17):
                     x, y = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
-                    ok = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64) <= _most_apart(n[x] + n[y], num, den)
+                    ok = _near(sig, sigs, x, y, n, num, den)
                     x, y = x[ok], y[ok]
                     lo, hi = np.minimum(r[x], r[y]), np.maximum(r[x], r[y])
                     for z in (x, y):
                         found.append(np.unique(np.stack((lo, hi, (r[z] > lo).astype(np.int64), c[z]), axis=1), axis=0))
-            found = np.unique(np.concatenate(found), axis=0)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["lo", "hi", "side", "c"])
+            if new := [v for v in map(tuple, np.unique(np.concatenate(found), axis=0).tolist()) if v not in seen]:
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*new, strict=True)], ["lo", "hi", "side", "c"])
+            if len(seen) > SEEN:
+                seen.clear()
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "lo long, hi long, side long, c long")
+    return rows.repartition("home").sortWithinPartitions("home", "g").mapInArrow(run, "lo long, hi long, side long, c long")
 
 
 def _joined(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -275,7 +319,7 @@ def _joined(members: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches):
         for _, (side, c, n, wide, x) in _groups(batches, "k", ("side", "c", "n", "wide", "x")):
-            side, c, n, sig = side.to_numpy(), c.to_numpy(), n.to_numpy(), _bits(wide)
+            side, c, n, sig = side.to_numpy(), c.to_numpy(), n.to_numpy(), _bits(wide.to_pylist())
             one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             found = [np.zeros((0, 3), np.int64)]
             for i in one.tolist():
@@ -325,12 +369,14 @@ def ngram_join(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 1
     marks = [F.bit_xor(F.xxhash64("c", F.lit(i))).alias(f"f{i}") for i in range(2)]
     alike = met.groupBy("g").agg(*marks, F.count(F.lit(1)).alias("m")).groupBy("f0", "f1", "m").agg(F.min("g").alias("g"), F.count(F.lit(1)).alias("w"))
     lists = cut(met.join(alike.select("g", "w"), "g").select("g", "c", "n", "pos", "w"))
-    sets = _sets(d, classes.join(lists.select("c").distinct(), "c"), k)
+    wide = prefixes.select("c", "wide")
+    wanted = _wanted(lists.join(wide, "c"), num, den).distinct()
+    sets = _sets(d, classes.join(wanted, "c"), k)
 
     def apart(roots: DataFrame | None) -> DataFrame:
         """The lists of several components, with the component of each member and the list's size."""
         at = _rooted(lists, roots)
-        mixed = at.groupBy("g").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 <> r1").select("g", "size")
+        mixed = at.groupBy("g").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.count(F.lit(1)).alias("size"), F.min("c").alias("home")).where("r0 <> r1").select("g", "size", "home")
         return at.join(mixed, "g")
 
     roots, links = None, None
@@ -346,13 +392,13 @@ def ngram_join(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 1
         links = found if links is None else links.unionByName(found)
         roots = cut(components(links))
 
-    at = apart(roots).join(prefixes.select("c", "wide"), "c")
+    at = apart(roots).join(wide, "c")
     # a list above the limit is compared by slices, any two of which meet in half the limit
     slices = F.when(F.col("size") > limit, F.ceil(2 * F.col("size") / limit)).otherwise(1).cast("long")
     at = at.withColumns({"slices": slices, "t": F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))})
     s = F.pmod(F.xxhash64("c"), F.col("slices"))
     at = at.withColumn("g", F.when(F.col("slices") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least(s, "t"), F.greatest(s, "t"))))
-    need = cut(_partners(at.select("g", "c", "r", "n", "pos", "wide"), num, den).distinct())
+    need = cut(_partners(at.select("home", "g", "c", "r", "n", "pos", "wide"), num, den).distinct())
     held = prefixes.select("c", "n", "wide").join(sets, "c")
     found = _joined(_buckets(need, prefixes.select("c", "n")).join(held, "c"), num, den)
     roots = cut(components(found if links is None else links.unionByName(found)))

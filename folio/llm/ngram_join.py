@@ -30,6 +30,7 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +45,19 @@ from .near_dedup import _buckets, _groups, _shared, shingle_sets
 COUNTERS, SLICES, TURNS, HUBS = 1 << 21, 256, 2, 3
 #: Parts of a signature at least, members compared with one hub in a bucket, and members of a list compared in one task.
 PARTS, SIDE, LIMIT = 1024, 512, 8192
+#: Texts of a batch that are in memory as such at a time.
+TEXTS = 256
 #: Rows that a task remembers having given.
 SEEN = 1 << 17
 _TOP = np.uint64(64 - (COUNTERS - 1).bit_length())
 
 
+def _sliced(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The sets of a batch's texts, a few hundred texts in memory at a time."""
+    for lo in range(0, len(texts), TEXTS):
+        yield from shingle_sets(texts.slice(lo, TEXTS).to_pylist(), k)
+
+
 def _key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.encode(F.coalesce(docs[text_col].cast("string"), F.lit("")), "UTF-8")
     return placed(docs, docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
@@ -63,7 +72,7 @@ def _counted(d: DataFrame, k: int) -> DataFrame:
         total, held, size = np.zeros(COUNTERS, np.int64), [], 0
         for b in batches:
             n, key = [], []
-            for x in shingle_sets(b.column("text").to_pylist(), k):
+            for x in _sliced(b.column("text"), k):
                 n.append(len(x))
                 key.append(hashlib.blake2b(x.astype("<u8").tobytes(), digest_size=16).digest())
                 held.append((x >> _TOP).astype(np.int32))
@@ -145,7 +154,7 @@ def _prefixes(d: DataFrame, rank: np.ndarray, k: int, num: int, den: int) -> Dat
     def run(batches):
         for b in batches:
             keep, n, prefix, sig, wide = [], [], [], [], []
-            for i, x in enumerate(shingle_sets(b.column("text").to_pylist(), k)):
+            for i, x in enumerate(_sliced(b.column("text"), k)):
                 if p := prefix_length(len(x), num, den):
                     order = np.argsort(rank[x >> _TOP], kind="stable")[:p]  # sets are sorted by hash
                     keep.append(i)
@@ -165,8 +174,10 @@ def _sets(d: DataFrame, of: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = [s.astype("<u8").tobytes() for s in shingle_sets(b.column("text").to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([b.column("c"), pa.array(x, pa.binary())], ["c", "x"])
+            for lo in range(0, b.num_rows, TEXTS):
+                part = b.slice(lo, TEXTS)
+                x = [s.astype("<u8").tobytes() for s in _sliced(part.column("text"), k)]
+                yield pa.RecordBatch.from_arrays([part.column("c"), pa.array(x, pa.binary())], ["c", "x"])
 
     return cut(d.select("_file", "_at", "text").join(of.select("_file", "_at", "c"), ["_file", "_at"]).select("c", "text").mapInArrow(run, "c long, x binary"))
 

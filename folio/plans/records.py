@@ -575,10 +575,10 @@ def record_containment(t):
     union all select k::varchar, 'DE-2', 'X 1', 2, null, null from o where m = 1
 """)
 def record_custody(t):
-    """Owners of an item that is there, of one that isn't, and none."""
+    """Owners of an item that is there, of one that isn't, and none. Item numbers end in an institution's, so that none is a bridge's."""
     m, call = _k() % 3, F.concat(F.lit("N"), "o_custkey")
     r = records(
-        t.orders, "o_orderkey", field("ITM", "  ", ("a", _k()), ("M", "M1"), ("w", "DE-1"), ("x", "hall"), ("v", "hall"), ("n", call)),
+        t.orders, "o_orderkey", field("ITM", "  ", ("a", F.concat(_k(), F.lit("6441"))), ("M", "M1"), ("w", "DE-1"), ("x", "hall"), ("v", "hall"), ("n", call)),
         field("361", "  ", ("5", "DE-1"), ("s", call), ("a", "Owner"), ("0", "(DE-588)5"), ("k", "19990102"), ("f", "Nummer 7"), when=m == 0),
         *(field("361", "  ", ("5", "DE-2"), ("s", "X 1"), ("a", a), when=m == 1) for a in ("One", "Two")),
     )

@@ -19,13 +19,12 @@ def let(x: Column, body: Callable[[Column], Column]) -> Column:
 
 def present(x: Column) -> Column:
     """The string, or null where it is empty or blank."""
-    return F.nullif(F.trim(x), F.lit(""))
+    return let(F.trim(x), lambda v: F.when(v != "", v))
 
 
 def compacted(values: Column) -> Column:
     """An array without null and empty strings; null where nothing is left."""
-    kept = F.filter(values, lambda v: v.isNotNull() & (v != ""))
-    return F.when(F.size(kept) > 0, kept)
+    return let(F.filter(values, lambda v: v.isNotNull() & (v != "")), lambda kept: F.when(F.size(kept) > 0, kept))
 
 
 def replace_all(x: Column, *rules: tuple[str, str]) -> Column:
@@ -42,11 +41,11 @@ def replace_each(values: Column, *rules: tuple[str, str]) -> Column:
 def paste(*parts: Column | str, sep: str = " ") -> Column:
     """Joins what is present; null if nothing is. Strings are literals."""
     cols = [F.lit(p) if isinstance(p, str) else p for p in parts]
-    return F.nullif(F.concat_ws(sep, *cols), F.lit(""))
+    return let(F.concat_ws(sep, *cols), lambda v: F.when(v != "", v))
 
 
 def joined(values: Column, sep: str) -> Column:
-    return F.nullif(F.array_join(values, sep), F.lit(""))
+    return let(F.array_join(values, sep), lambda v: F.when(v != "", v))
 
 
 def uniq(values: Column) -> Column:

@@ -41,8 +41,8 @@ def is_field(path: str) -> Callable[[Column], Column]:
     return test
 
 
-def fields(*paths: str, where: Callable[[Column], Column] | None = None) -> Column:
-    """The data fields of any of the paths, in the order of the record."""
+def fields(*paths: str, where: Callable[[Column], Column] | None = None, of: Column | str = "data") -> Column:
+    """The data fields of any of the paths, in the order of the record, or those among the fields ``of``."""
     tests = [is_field(p) for p in paths]
 
     def keep(f: Column) -> Column:
@@ -51,7 +51,7 @@ def fields(*paths: str, where: Callable[[Column], Column] | None = None) -> Colu
             out = out | t(f)
         return out & where(f) if where else out
 
-    return F.filter("data", keep)
+    return F.filter(of, keep)
 
 
 def sub(field: Column, codes: str) -> Column:

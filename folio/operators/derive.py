@@ -206,7 +206,7 @@ def publication(this_year: int) -> Column:
     def group(tag: str, second: str) -> Column:
         return F.concat(M.fields(f"{tag}3{second}"), M.fields(f"{tag}2{second}"), M.fields(f"{tag} {second}"))
 
-    found = F.when(F.size(group("264", "1")) > 0, group("264", "1")).otherwise(group("260", "?"))
+    found = C.let(group("264", "1"), lambda g: F.when(F.size(g) > 0, g).otherwise(group("260", "?")))
     events = F.transform(found, lambda f: _event(f, this_year))
     year, end = C.fixed(M.control("008"), 7, 4), C.fixed(M.control("008"), 11, 4)
     strings, none = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
@@ -214,7 +214,7 @@ def publication(this_year: int) -> Column:
         F.array(F.lit("PublicationEvent")).alias("type"), strings.alias("location"), strings.alias("publishedBy"), none.alias("dateStatement"),
         year.alias("startDate"), F.when(is_continuing() & end.rlike(r"^\d{4}$") & (end != "9999"), end).alias("endDate"),
     )
-    return F.when(F.size(events) > 0, events).when(year.rlike(r"^\d{4}$"), F.array(bare))
+    return C.let(events, lambda e: F.when(F.size(e) > 0, e).when(year.rlike(r"^\d{4}$"), F.array(bare)))
 
 
 def manufacture(this_year: int) -> Column:
@@ -382,11 +382,17 @@ VOCABULARIES = ((("?0", None), "Library of Congress Subject Headings"), (("?7",
 
 def subjects() -> Column:
     """Headings of 600 to 651 by vocabulary, uncontrolled words, and notations of 082 and 084."""
-    parts = []
-    for (ind, code), name in VOCABULARIES:
-        for tag in ("600", "610", "611", "630", "648", "650", "651"):
-            found = M.fields(tag + ind, where=None if code is None else _of_source(code))
-            parts.append(F.transform(found, _heading(name)))
+    tags = ("600", "610", "611", "630", "648", "650", "651")
+
+    def headings(heads: Column) -> Column:
+        # once for each vocabulary: the fields of one vocabulary in the order of their tags
+        def of(ind: str, code: str | None, name: str) -> Column:
+            own = M.fields("6??" + ind, where=None if code is None else _of_source(code), of=heads)
+            return C.let(own, lambda o: F.flatten(F.transform(F.array(*map(F.lit, tags)), lambda t: F.transform(F.filter(o, lambda f: f["tag"] == t), _heading(name)))))
+
+        return F.concat(*(of(ind, code, name) for (ind, code), name in VOCABULARIES))
+
+    parts = [C.let(F.filter("data", lambda f: f["tag"].isin(*tags)), headings)]
     words = F.transform(M.values("653??", "a"), lambda w: _concept(F.regexp_replace(w, r"\s?[.,]$", ""), None, None, None))
     ddc = F.transform(M.values("082??", "a"), lambda n: _concept(None, F.regexp_replace(n, "/", ""), None, "Dewey Decimal Classification"))
     rvk = F.transform(F.flatten(F.transform(M.fields("084??", where=_of_source("rvk")), lambda f: M.sub(f, "a"))), lambda n: _concept(None, n, None, "Regensburger Verbundklassifikation"))
@@ -414,13 +420,15 @@ def _heading(source: str):
 def subject_chains() -> Column:
     """Chains of 689: the first indicator numbers the chain, components keep their order."""
 
-    def chain(n: Column) -> Column:
-        own = F.filter("data", lambda f: (f["tag"] == "689") & (f["ind1"] == n.cast("string")) & M.has(f, "a"))
-        labels = F.transform(own, lambda f: C.joined(M.sub(f, "abcx"), ", "))
-        return F.struct(labels.alias("componentList"), C.joined(labels, " | ").alias("label"))
+    def chains(links: Column) -> Column:
+        numbers = F.filter(F.array(*(F.lit(str(n)) for n in range(10))), lambda n: F.exists(links, lambda f: f["ind1"] == n))
+        return F.transform(numbers, lambda n: C.let(F.transform(F.filter(links, lambda f: f["ind1"] == n), lambda f: C.joined(M.sub(f, "abcx"), ", ")), _chain))
+
+    return C.let(F.filter("data", lambda f: (f["tag"] == "689") & M.has(f, "a")), chains)
+
 
-    chains = F.transform(F.sequence(F.lit(0), F.lit(9)), chain)
-    return F.filter(chains, lambda c: F.size(c["componentList"]) > 0)
+def _chain(labels: Column) -> Column:
+    return F.struct(labels.alias("componentList"), C.joined(labels, " | ").alias("label"))
 
 
 def subject_labels(subjects_: Column, chains: Column) -> Column:
@@ -495,7 +503,7 @@ def relation(path: str) -> Column:
 
 
 def _some(x: Column) -> Column:
-    return F.when(F.size(x) > 0, x)
+    return C.let(x, lambda v: F.when(F.size(v) > 0, v))
 
 
 #: Properties of linking fields.

@@ -101,8 +101,11 @@ def forms() -> Column:
     terms = M.fields("655 7", where=lambda f: M.has(f, "a") & ~C.any_equal(M.sub(f, "2"), "gnd-carrier"))
     chain = M.fields("689??", where=lambda f: M.has(f, "a") & C.any_match(M.sub(f, "A"), "f|F"))
     every = F.concat(F.transform(M.fields("348  ", where=lambda f: M.has(f, "a")), form), F.filter(F.concat(F.transform(terms, form), F.transform(chain, form)), lambda x: ~x["label"].rlike(MEDIA_WORDS)))
-    labels = F.array_distinct(F.transform(every, lambda x: x["label"]))
-    return F.transform(labels, lambda l: C.first(F.filter(every, lambda x: x["label"] == l)))
+    def firsts(e: Column) -> Column:
+        labels = F.array_distinct(F.transform(e, lambda x: x["label"]))
+        return F.transform(labels, lambda l: C.first(F.filter(e, lambda x: x["label"] == l)))
+
+    return C.let(every, firsts)
 
 
 def with_form_ids(df: DataFrame, key: str, forms_col: str, table: DataFrame, out: str) -> DataFrame:

@@ -77,7 +77,7 @@ def containment(base: str = derive.BASE) -> dict[str, Column]:
     replaced = F.when(F.size(added) > 0, F.slice(added, 1, 0)).otherwise(M.fields("4901?"))
     every = F.concat(F.when(~component | numbered, hosts(_hosts())).otherwise(hosts(F.slice(_hosts(), 1, 0))), series(M.fields("4900?")), series(replaced), F.transform(added, of_830))
     contained = F.flatten(F.transform(M.fields("773??"), lambda f: F.transform(_numbers(f), lambda w: F.struct(_iri(w, base).alias("id"), F.coalesce(_plain(M.sub1(f, "t")), F.lit("Ressource")).alias("label")))))
-    some = lambda x: F.when(F.size(x) > 0, C.uniq(x))
+    some = lambda x: C.let(C.uniq(x), lambda v: F.when(F.size(v) > 0, v))
     return {"isPartOf": some(every), "containedIn": F.when(component & ~numbered, some(contained))}
 
 
@@ -107,9 +107,7 @@ def with_custody(items: Column) -> Column:
     events = M.fields("361??")
     of_field = lambda f: key(M.sub1(f, "5"), M.sub1(f, "s"))
     told = lambda k: F.transform(F.filter(events, lambda f: of_field(f) == k), _owned)
-    some = lambda x: F.when(F.size(x) > 0, x)
-    there = F.transform(items, lambda i: key(i["currentLibrary"], i["callNumber"]))
-    missing = F.array_except(F.transform(events, of_field), there)
+    some = derive._some
 
     def made(k: Column) -> Column:
         f = F.element_at(F.filter(events, lambda g: of_field(g) == k), 1)
@@ -117,8 +115,12 @@ def with_custody(items: Column) -> Column:
         item = derive._item("Item", F.concat_ws(":", F.col("record_id"), M.sub1(f, "5"), F.url_encode(M.sub1(f, "s"))), M.sub1(f, "5"), none, M.sub1(f, "s"), none, none)
         return item.withField("type", F.array(F.lit("Item"))).withField("custodialHistory", told(k))
 
-    held = F.transform(items, lambda i: i.withField("custodialHistory", some(told(key(i["currentLibrary"], i["callNumber"])))))
-    return F.concat(held, F.transform(missing, made))
+    def merged(own: Column) -> Column:
+        held = F.transform(own, lambda i: i.withField("custodialHistory", some(told(key(i["currentLibrary"], i["callNumber"])))))
+        there = F.transform(own, lambda i: key(i["currentLibrary"], i["callNumber"]))
+        return F.concat(held, F.transform(F.array_except(F.transform(events, of_field), there), made))
+
+    return C.let(items, merged)
 
 
 def shadows(records: DataFrame) -> DataFrame:
@@ -130,7 +132,7 @@ def shadows(records: DataFrame) -> DataFrame:
     code = lambda g: F.coalesce(C.present(F.regexp_extract(M.sub1(g, "6"), r"/(.+?)(?:/r)?$", 1)), F.lit("Zzzz"))
     named = lambda f, pattern: F.regexp_extract(M.sub1(f, "6"), pattern, 1)
     links = F.transform(F.filter("data", lambda f: (f["tag"] != "880") & M.has(f, "6")), lambda f: F.concat(f["tag"], F.lit("-"), named(f, r"^880-(\d{2})")))
-    twins = F.filter("data", lambda g: (g["tag"] == "880") & F.array_contains(links, named(g, r"^(\d{3}-\d{2})")))
+    twins = C.let(links, lambda known: F.filter("data", lambda g: (g["tag"] == "880") & F.array_contains(known, named(g, r"^(\d{3}-\d{2})"))))
     d = records.select("record_id", "leader", "control", twins.alias("twins")).where(F.size("twins") > 0)
     d = d.select("record_id", "leader", "control", "twins", F.explode(C.uniq(F.transform("twins", code))).alias("script"))
     own = F.filter("twins", lambda g: code(g) == F.col("script"))

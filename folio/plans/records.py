@@ -44,7 +44,11 @@ def field(tag: str, ind: str, *subs: tuple[str, Column | str], when: Column | No
 
 
 def records(df: DataFrame, key: str, *data: Column, six: Column | str = "a", seven: Column | str = "m", f007: Column | str | None = None, f008: Column | None = None, f006: Column | str | None = None) -> DataFrame:
-    """One record for each row, with the columns of the row beside it."""
+    """One record for each row, with the columns of the row beside it.
+
+    The rows are dealt out first: a small file is one task's, but its records are work for many.
+    """
+    df = df.repartition(key)
     controls = [F.struct(F.lit("001").alias("tag"), F.col(key).cast("string").alias("value"))]
     for tag, v in (("006", f006), ("007", f007), ("008", f008)):
         if v is not None:

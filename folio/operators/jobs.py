@@ -135,11 +135,41 @@ def diff_documents(old: DataFrame, new: DataFrame, key: str, ordered: Callable[[
     """``(key, path, pos, value, side, copies)`` of what only one of two snapshots of nested documents has.
 
     Values of a path are a bag, of an ordered path a sequence: a list in another order differs on ordered
-    paths only. Both snapshots meet in one exchange, counted before it; the schemas may differ.
+    paths only. The documents of a key meet, from both snapshots, and are compared by themselves, so that no task
+    counts the values of many; the schemas may differ.
     """
-    sides = (by_paths(d, key, ordered, skip).withColumn("n", F.lit(n)) for d, n in ((old, 1), (new, -1)))
-    both = reduce(DataFrame.unionByName, sides).groupBy("key", "path", "pos", "value").agg(F.sum("n").alias("n"))
-    return both.where("n <> 0").select("key", "path", "pos", "value", F.when(F.col("n") > 0, "old").otherwise("new").alias("side"), F.abs("n").alias("copies"))
+    sides = [(d, n, list(N.paths(d.schema, (key, *skip)))) for d, n in ((old, 1), (new, -1))]
+    every = list(dict.fromkeys(p for *_, ps in sides for p in ps))
+    if not every:
+        return by_paths(old, key, ordered, skip).select("*", F.lit("old").alias("side"), F.lit(0).cast("long").alias("copies"))
+    none = F.array().cast("array<string>")
+    rows = [d.select(F.col(key).alias("key"), F.lit(n).alias("n"), *((N.top_values(d.schema, p) if p in ps else none).alias(f"_p{i}") for i, p in enumerate(every))) for d, n, ps in sides]
+    met = reduce(DataFrame.unionByName, rows).groupBy("key").agg(F.collect_list(F.struct("n", *(f"_p{i}" for i in range(len(every))))).alias("_docs"))
+    found = F.concat(*(_unequal(F.col("_docs"), f"_p{i}", ".".join(p), ordered(p)) for i, p in enumerate(every)))
+    return met.select("key", F.inline(found)).select("key", "path", "pos", "value", F.when(F.col("n") > 0, "old").otherwise("new").alias("side"), F.abs("n").alias("copies"))
+
+
+def _unequal(docs: Column, name: str, path: str, ordered: bool) -> Column:
+    """``[{path, pos, value, n}]``: what the documents of both sides don't have alike at a path; ``n`` is negative for the new side.
+
+    The values are sorted, and the sides of equal ones, which are neighbours then, added up.
+    """
+    place = (lambda i: i) if ordered else (lambda _: F.lit(None).cast("int"))
+    side = lambda n: F.flatten(F.transform(F.filter(docs, lambda d: d["n"] == n), lambda d: F.transform(d[name], lambda v, i: F.struct(place(i).alias("pos"), v.alias("value")))))
+
+    def counted(s: Column) -> Column:
+        same = lambda a, b: a["pos"].eqNullSafe(b["pos"]) & (a["value"] == b["value"])
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | ~same(x, F.get(s, F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
+        run = lambda a, b: F.struct(F.lit(path).alias("path"), s[a]["pos"].alias("pos"), s[a]["value"].alias("value"), F.aggregate(F.slice(s, a + 1, b - a), F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("n"))
+        runs = lambda at: F.transform(at, lambda a, j: run(a, F.coalesce(F.get(at, j + 1), F.size(s))))
+        return F.filter(C.let(starts, runs), lambda r: r["n"] != 0)
+
+    def compared(x: Column) -> Column:
+        signed = lambda a, n: F.transform(a, lambda v: F.struct(v["pos"].alias("pos"), v["value"].alias("value"), F.lit(n).alias("n")))
+        c = F.sort_array(F.concat(signed(x["a"], 1), signed(x["b"], -1)))
+        return F.when(x["a"] == x["b"], F.array().cast("array<struct<path:string,pos:int,value:string,n:bigint>>")).otherwise(C.let(c, counted))
+
+    return C.let(F.struct(F.sort_array(side(1)).alias("a"), F.sort_array(side(-1)).alias("b")), compared)
 
 
 def label_from_usage(df: DataFrame, iri: str, label: str, order: str) -> DataFrame:

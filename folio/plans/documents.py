@@ -33,14 +33,12 @@ def documents(t: Tables) -> DataFrame:
     """``key, id, type, status, priority, customer{id,label}, items[{number,quantity,flags[],part{id,label}}], partOrder[]``."""
     iri = lambda kind, k: F.concat(F.lit(BASE + kind), F.col(k).cast("string"))
     none = F.lit(None).cast("string")
-    part = F.struct(iri("parts/", "l_partkey").alias("id"), none.alias("label"))
-    item = F.struct(
-        F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("k"), F.col("l_quantity").cast("int").alias("quantity"),
-        F.array("l_returnflag", "l_linestatus").alias("flags"), part.alias("part"),
-    )
+    part = lambda k: F.struct(F.concat(F.lit(BASE + "parts/"), k.cast("string")).alias("id"), none.alias("label"))
+    # what is shipped is the bare columns; the nodes are made of them afterwards
+    item = F.struct(F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("k"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
     lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
     d = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    items = F.transform("items", lambda i: F.struct(i["number"].alias("number"), i["quantity"].alias("quantity"), i["flags"].alias("flags"), i["part"].alias("part")))
+    items = F.transform("items", lambda i: F.struct(i["number"].alias("number"), i["quantity"].alias("quantity"), F.array(i["flag"], i["status"]).alias("flags"), part(i["k"]).alias("part")))
     return d.select(
         F.col("o_orderkey").alias("key"), iri("orders/", "o_orderkey").alias("id"), F.array(F.lit("Order")).alias("type"),
         F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),

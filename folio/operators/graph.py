@@ -102,21 +102,25 @@ class _Walk:
         none = F.array().cast(_STATEMENT)
         inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
         held = F.array_compact(v if isinstance(kind, T.ArrayType) else F.array(v))
-        cell = lambda i: blank(F.concat_ws("/", place, F.lit("cell"), i.cast("string")))
         nil = F.lit(RDF + "nil")
 
-        def of(a: Column) -> Column:
-            n = F.size(a)
-            head = _statement(subject, term.iri, F.when(n > 0, cell(F.lit(0))).otherwise(nil), F.when(n > 0, "blank").otherwise("iri"))
+        def of(x: Column) -> Column:
+            # the names of all cells, each made once, and the end of the list
+            a, cells = x["held"], x["cells"]
+            kind_of = lambda c: F.when(c == nil, "iri").otherwise("blank")
+            head = _statement(subject, term.iri, cells[0], kind_of(cells[0]))
 
             def link(e: Column, i: Column) -> Column:
-                last = i == n - 1
-                rest = _statement(cell(i), RDF + "rest", F.when(last, nil).otherwise(cell(i + 1)), F.when(last, "iri").otherwise("blank"))
-                return F.concat(self.one(e, inner, RDF + "first", term, cell(i), F.concat_ws("/", place, i.cast("string"))), F.array(rest))
+                rest = _statement(cells[i], RDF + "rest", cells[i + 1], kind_of(cells[i + 1]))
+                return F.concat(self.one(e, inner, RDF + "first", term, cells[i], F.concat_ws("/", place, i.cast("string"))), F.array(rest))
 
             return F.concat(F.array(head), F.flatten(F.transform(a, link)))
 
-        return F.when(v.isNotNull(), C.let(held, of)).otherwise(none)
+        def named(h: Column) -> Column:
+            made = F.transform(h, lambda _, i: blank(F.concat_ws("/", place, F.lit("cell"), i.cast("string"))))
+            return F.struct(h.alias("held"), F.concat(made, F.array(nil)).alias("cells"))
+
+        return F.when(v.isNotNull(), C.let(C.let(held, named), of)).otherwise(none)
 
 
 def statements(df: DataFrame, context: dict[str, Term], id_field: str = "id", type_field: str = "type") -> DataFrame:

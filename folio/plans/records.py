@@ -348,11 +348,16 @@ def record_forms(t):
 
 def _held(t: Tables) -> DataFrame:
     """Records of orders whose line items are items of members and libraries, of one order each."""
-    supplier, lines = F.col("l_suppkey"), t.lineitem
-    library = F.concat(F.lit("DE-"), supplier % 40, F.lit("-"), supplier)
-    subs = {"a": F.col("l_partkey"), "M": F.lit("M1"), "w": library, "x": F.lit("hall"), "v": F.when(F.col("l_linestatus") == "F", "stack").otherwise("hall"), "z": F.concat(F.lit("Z"), supplier), "n": F.when(F.col("l_returnflag") != "A", F.concat(F.lit("N"), "l_partkey")), "c": F.concat(F.lit("C"), "l_linenumber")}
-    item = field("ITM", "  ", *subs.items())
-    items = lines.groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+
+    def item(l: Column) -> Column:
+        supplier = l["l_suppkey"]
+        library = F.concat(F.lit("DE-"), supplier % 40, F.lit("-"), supplier)
+        subs = {"a": l["l_partkey"], "M": F.lit("M1"), "w": library, "x": F.lit("hall"), "v": F.when(l["l_linestatus"] == "F", "stack").otherwise("hall"), "z": F.concat(F.lit("Z"), supplier), "n": F.when(l["l_returnflag"] != "A", F.concat(F.lit("N"), l["l_partkey"])), "c": F.concat(F.lit("C"), l["l_linenumber"])}
+        return field("ITM", "  ", *subs.items())
+
+    # the fields are made of the lines after they have met
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")).alias("lines"))
+    items = lines.select("l_orderkey", F.transform("lines", item).alias("items"))
     base = records(t.orders, "o_orderkey", field("MBD", "  ", ("M", derive.NETWORK)), field("MBD", "  ", ("M", "M2"), when=_k() % 3 == 0), f008=fixed_field(year=_year()))
     joined = base.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.withColumn("data", F.concat("data", F.coalesce("items", F.array().cast("array<struct<tag:string,ind1:string,ind2:string,sub:array<struct<code:string,value:string>>>>"))))

@@ -75,6 +75,7 @@ def _summed(held: list[tuple], names: dict[tuple[str, str], int], min_docs: int)
         chunk.append(words.indices.to_numpy()[at : at + len(w)][code].astype(np.int64))
         at += len(w)
     chunk, group, occ, row = (np.concatenate(x) for x in (chunk, *([h[k] for h in held] for k in (2, 3, 4))))
+    held.clear()  # else the slices stay beside their concatenation until the last row is out
     langs, sources = (pa.array([x[k] for x in names], pa.string()) for k in (0, 1))
     order, start, docs = _runs(group * len(words.dictionary) + chunk)
     total = np.add.reduceat(occ[order], start) if len(start) else occ
@@ -114,8 +115,11 @@ def chunk_counts(docs: DataFrame, min_docs: int) -> DataFrame:
                 if size >= ENTRIES:
                     yield from _summed(held, names, min_docs)
                     held, size = [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from _summed(held, names, min_docs)
+        # the worker lives on, and so would what it holds
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, "lang string, source string, chunk string, n long, doc long")
 

@@ -27,35 +27,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_row
+from .common import cut, slices, with_row
 
 SHARD, MERGE = 60_000, 20
-#: Words kept by a worker with their ids.
-CACHE = 1_000_000
+#: Words kept by a worker with their ids, in two halves: a full one becomes the older, and words that come again move on.
+CACHE = 400_000
 #: ASCII punctuation that never begins a contraction.
 MARKS = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~"
-_kept: dict[str, tuple[object, dict[bytes, bytes], list[bytes]]] = {}
+_kept: dict[str, tuple[object, list[dict[bytes, bytes]], list[bytes]]] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer, this worker's word cache, and the tokens added to the vocabulary, in lower case."""
+    """The tokenizer, this worker's words, newer and older ones, and the tokens added to the vocabulary, in lower case."""
     if path not in _kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _kept[path] = (t, {}, [x.content.encode().lower() for x in t.get_added_tokens_decoder().values()])
+        _kept[path] = (t, [{}, {}], [x.content.encode().lower() for x in t.get_added_tokens_decoder().values()])
     return _kept[path]
 
 
-def _encoded(words: set[bytes], cache: dict[bytes, bytes], tokenizer) -> None:
-    """Puts the ids of words into the cache.
+def _encoded(words: set[bytes], cache: dict[bytes, bytes], older: dict[bytes, bytes], tokenizer) -> None:
+    """Puts the ids of words into the cache, from the older one where it has them.
 
     Letters and the punctuation after them are split before the merges too, so both parts of a word
     are encoded once for all words that share them.
     """
     split, new = [], set()
     for w in words:
+        if (ids := older.get(w)) is not None:
+            cache[w] = ids
+            continue
         core = w.rstrip(MARKS)
         # the last character as the vocabulary sees it; lower case may end in a mark
         if core and len(core) < len(w) and (97 <= core[-1] <= 122 or core.decode().lower()[-1].isalpha()):
@@ -64,6 +67,7 @@ def _encoded(words: set[bytes], cache: dict[bytes, bytes], tokenizer) -> None:
             new.add(core), new.add(tail)
         else:
             new.add(w)
+    cache.update((x, older[x]) for x in new if x in older)
     new = [x for x in new if x not in cache]
     for x, e in zip(new, tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
         cache[x] = np.array(e.ids, "<u4").tobytes()
@@ -78,19 +82,19 @@ def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
     distinct word is encoded once and kept. Added tokens, such as the terminator's, are found before that,
     inside words too and by case: a text that may hold one is encoded whole.
     """
-    tokenizer, cache, added = _tokenizer(path)
+    tokenizer, kept, added = _tokenizer(path)
     for text in texts:
         low = text.lower()
         if any(x in low for x in added):
             yield np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             continue
         words = low.split()
-        if new := {w for w in words if w not in cache}:
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
+        if new := {w for w in words if w not in kept[0]}:
+            if len(kept[0]) + len(new) > CACHE // 2:
+                kept[:] = {}, kept[0]
                 new = set(words)
-            _encoded(new, cache, tokenizer)
-        yield b"".join(map(cache.__getitem__, words))
+            _encoded(new, *kept, tokenizer)
+        yield b"".join(map(kept[0].__getitem__, words))
 
 
 def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,7 +103,7 @@ def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, end_id: int
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows, ids, out = b.column("_row").to_pylist(), b.column("doc_id").to_pylist(), []
             for row, doc, data in zip(rows, ids, token_bytes(b.column("text").to_pylist(), vocabulary), strict=True):
                 data += end
@@ -108,6 +112,8 @@ def pieces(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, end_id: int
                     out.append((row, doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["_row", "doc_id", "piece", "start", "length", "ids_crc32"])
+        # the worker lives on, and so would what it holds
+        pa.default_memory_pool().release_unused()
 
     return cut(d.mapInArrow(run, "_row long, doc_id long, piece int, start long, length long, ids_crc32 long"))
 

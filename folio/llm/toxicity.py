@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_row
+from .common import cut, slices, with_row
 
 SAMPLE, BITS, LEXICONS, PREFIXES = 40_000, 18, 4, (4, 5, 6)
 #: Entries of all mined lexicons at most, those of most toxic rows; features that one shard of the training holds.
@@ -72,13 +72,6 @@ def _slot(feature: bytes) -> int:
     return zlib.crc32(feature) >> (32 - BITS)
 
 
-def _parts(batches, rows: int = 512):
-    """Batches of fewer rows, so that few texts are Python objects at a time."""
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
-
-
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
@@ -110,7 +103,7 @@ def mine(rows: DataFrame, odds: float = 12.0, share: float = 0.02, sure: float =
 
     def toxic(batches):
         total = np.zeros(1 << BITS, np.int64)
-        for b in _parts(batches):
+        for b in slices(batches):
             for text in b.column("text").to_pylist():
                 total[_slots(text, {})] += 1
         at = np.flatnonzero(total)
@@ -121,7 +114,7 @@ def mine(rows: DataFrame, odds: float = 12.0, share: float = 0.02, sure: float =
 
     def run(batches):
         count: dict[bytes, list[int]] = {}
-        for b in _parts(batches):
+        for b in slices(batches):
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
                 for f in {f for w in _words(text) for f in _features(w) if _slot(f) in held.value}:
                     count.setdefault(f, [0, 0])[label] += 1
@@ -302,12 +295,12 @@ def toxicity(
 
     def run(batches):
         v = Voters(shared.value)
-        total = Counter(v.vote(t) for b in _parts(batches) for t in b.column("text").to_pylist())
+        total = Counter(v.vote(t) for b in slices(batches) for t in b.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["votes", "n"])
 
     def describe(batches):
         v, kept = Voters(shared.value), {}
-        for b in _parts(batches):
+        for b in slices(batches):
             t = b.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("label"), b.column("part"), pa.array([v.vote(x) for x in t], pa.int64()), pa.array([_slots(x, kept) for x in t], pa.list_(pa.int32()))], ["_id", "label", "part", "votes", "slots"])
 
@@ -348,7 +341,7 @@ def toxicity(
         # slots with weight only: most words have none
         alive = set(np.flatnonzero(w[:-1]).tolist())
         kept: dict[bytes, tuple[int, ...]] = {}
-        for b in _parts(batches):
+        for b in slices(batches):
             out = []
             texts = b.column("kept").field(text_col) if keep else b.column("text")
             for t in texts.to_pylist():

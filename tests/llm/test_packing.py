@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 
+from folio.llm import packing
 from folio.llm.packing import pack, token_bytes
 
 
@@ -22,3 +23,23 @@ def test_added_tokens(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r.doc_id: (r.length, r.ids_crc32) for r in pack(d, path).collect()}
     assert got == {i: (len(w) // 4 + 1, zlib.crc32(w + b"\0" * 4)) for i, w in enumerate(want)}
+
+
+def test_words_kept(monkeypatch):
+    """What a worker keeps between its tasks; words that come again stay when others go."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "_kept", {})
+    for k in range(450):
+        list(token_bytes([b"often " + b" ".join(b"w%d" % i for i in range(k * 1000, k * 1000 + 1000))], path))
+    kept = packing._kept[path][1]
+    assert sum(map(len, kept)) <= 400_000
+    assert b"often" in kept[0]
+
+
+def test_ids_with_a_full_cache(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"common word{i} words{i % 7}, Other{i}!".encode() for i in range(60)]
+    want = list(token_bytes(texts, path))
+    monkeypatch.setattr(packing, "_kept", {})
+    monkeypatch.setattr(packing, "CACHE", 20)
+    assert list(token_bytes(texts, path)) == want

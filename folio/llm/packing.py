@@ -18,6 +18,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from .common import cut, slices, with_row
 
 SHARD, MERGE = 60_000, 20
 #: Words kept by a worker with their ids, in two halves: a full one becomes the older, and words that come again move on.
-CACHE = 400_000
+CACHE = 600_000
 #: ASCII punctuation that never begins a contraction.
 MARKS = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _kept: dict[str, tuple[object, list[dict[bytes, bytes]], list[bytes]]] = {}
@@ -70,7 +71,8 @@ def _encoded(words: set[bytes], cache: dict[bytes, bytes], older: dict[bytes, by
     cache.update((x, older[x]) for x in new if x in older)
     new = [x for x in new if x not in cache]
     for x, e in zip(new, tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-        cache[x] = np.array(e.ids, "<u4").tobytes()
+        ids = e.ids
+        cache[x] = struct.pack(f"<{len(ids)}I", *ids)
     for w, core, tail in split:
         cache[w] = cache[core] + cache[tail]
 
@@ -89,7 +91,7 @@ def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
             yield np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             continue
         words = low.split()
-        if new := {w for w in words if w not in kept[0]}:
+        if new := set(words).difference(kept[0]):
             if len(kept[0]) + len(new) > CACHE // 2:
                 kept[:] = {}, kept[0]
                 new = set(words)

@@ -29,10 +29,10 @@ def test_words_kept(monkeypatch):
     """What a worker keeps between its tasks; words that come again stay when others go."""
     path = public_tokenizers.path("word_bpe_49k.json")
     monkeypatch.setattr(packing, "_kept", {})
-    for k in range(450):
+    for k in range(650):
         list(token_bytes([b"often " + b" ".join(b"w%d" % i for i in range(k * 1000, k * 1000 + 1000))], path))
     kept = packing._kept[path][1]
-    assert sum(map(len, kept)) <= 400_000
+    assert sum(map(len, kept)) <= 600_000
     assert b"often" in kept[0]
 
 
